@@ -131,6 +131,8 @@ def usable(value: str) -> bool:
     v = value.strip()
     if len(v) < 4 or re.search(r"\s", v) or _REFERENCE.match(v) or _STAND_IN.fullmatch(v):
         return False
+    if _TOKEN.fullmatch(v):
+        return True
     if v.isalpha():  # a plain word is a name or label, unless upper and lower case are mixed throughout
         return len(v) >= 12 and len(re.findall(r"[a-z][A-Z]", v)) >= 3
     return not re.fullmatch(r"[\W_]+", v)
