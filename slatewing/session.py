@@ -44,3 +44,12 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table of fewer partitions than the cluster has cores one partition a core.
+
+    Large tables have more input partitions than that and pass without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
