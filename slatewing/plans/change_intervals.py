@@ -81,7 +81,7 @@ def merge_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min(_rank("severity", SEVERITIES)).alias("s"), F.min(_rank("confidence", CONFIDENCES)).alias("c"),
         F.min_by(title, F.struct(-F.length(title), title)).alias("title"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.trim("endpoint") != "", F.trim("endpoint")))), ",").alias("endpoints"),
-        F.min("created_at").alias("created_at"),
+        F.unix_micros(F.min("created_at")).alias("created_at"),
     )
     pick = [F.element_at(F.array(*[F.lit(v) for v in [*o, "UNKNOWN"]]), F.col(c) + 1).alias(n) for c, n, o in (("s", "severity", SEVERITIES), ("c", "confidence", CONFIDENCES))]
     return merged.select(*keys, "merged", "start_line", "end_line", *pick, "title", "endpoints", "created_at")
@@ -168,7 +168,7 @@ SQL = {
       select task_id, type, path, count(*) as merged, min(start_line) as start_line, max(end_line) as end_line,
         ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'UNKNOWN'][min({_S}) + 1] as severity, ['HIGH', 'MEDIUM', 'LOW', 'UNKNOWN'][min({_C}) + 1] as confidence,
         list_sort(list({{'n': -length(trim(title)), 't': trim(title)}}))[1].t as title,
-        coalesce(array_to_string(list_sort(list(distinct trim(endpoint)) filter (where trim(endpoint) <> '')), ','), '') as endpoints, min(created_at) as created_at
+        coalesce(array_to_string(list_sort(list(distinct trim(endpoint)) filter (where trim(endpoint) <> '')), ','), '') as endpoints, epoch_us(min(created_at)) as created_at
       from i group by task_id, type, path, island""",
     "risk_order_topk": f"with {_F}, d as (select distinct id, task_id, severity, created_at from f) select * from (select task_id, row_number() over (partition by task_id order by {_S}, created_at nulls first, id, severity) as place, id, severity from d) where place <= 20",
     "context_windows": f"""with l as (select distinct id, len(r) as last_line, i as line_no from (select id, r, unnest(r) as x, generate_subscripts(r, 1) as i from (select id, {_LINES} as r from code_chunk where content is not null)) where {_HAS}),
