@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slatewing.session import durable
+
 #: A tail that ends texts in less than this share of its uses is not a place to stop.
 STOP_SHARE = 0.08
 #: The same at a length that is a limit.
@@ -32,26 +34,40 @@ LIMIT_COUNT, LIMIT_TIMES, LIMIT_RADIUS = 5, 6, 20
 #: Salts for joins of records with the statistics of their tails.
 SALTS = 16
 
-_TOKEN = re.compile(r"[A-Z]\w*#\w*|[\u3400-\u9fff\u3040-\u30ff\uac00-\ud7af]|[^\W_]+(?:_[^\W_]+)*|[^\w\s]|_")
+_TOKEN = re.compile(r"\n|[.:](?=\w)|[A-Z]\w*#\w*|[\u3400-\u9fff\u3040-\u30ff\uac00-\ud7af]|[^\W_]+(?:_[^\W_]+)*|[^\w\s]|_")
 _WORD = re.compile(r"[^\W\d][\w]*")
 #: Marks that close a sentence or a text.
 _STOPS = frozenset(".!?。！？…：；;:)]}）】」』»”\"'`>*|~")
 _CJK = re.compile(r"[\u3400-\u9fff\u3040-\u30ff\uac00-\ud7af]")
 
 
-def _shape(token: str) -> str:
-    """Numbers and mixed-case identifiers share a class, so that tails are counted by their form."""
-    if "#" in token:
-        return "A#a"
-    if token[0].isdigit():
-        return "0" if token.isdigit() else "0a"
-    if re.search(r"[a-zß-ÿ][A-Z]", token):
-        return "Aa"
-    return token
+class _Shapes(dict):
+    """Token to its class: numbers, mixed-case identifiers and references share one, so that tails are
+    counted by their form."""
+
+    def __missing__(self, token: str) -> str:
+        if "#" in token:
+            shape = "A#a"
+        elif token[0].isdigit():
+            shape = "0" if token.isdigit() else "0a"
+        elif token == "\n":
+            shape = "^"
+        elif len(token) > 1 and re.search(r"[a-zß-ÿ][A-Z]", token):
+            shape = "Aa"
+        else:
+            shape = token
+        if len(self) < 200_000:
+            self[token] = shape
+        return shape
+
+
+_SHAPES = _Shapes()
 
 
 def _open_json(text: str) -> bool:
     """Whether the JSON that the text begins with or holds is still open at the end."""
+    if "{" not in text and "[" not in text:
+        return False
     m = re.search(r"[{\[]\s*[{\"\[]", text)
     if not m or (m.start() > 0 and text[m.start() - 1] not in " \n\t:=`>"):
         return False
@@ -72,58 +88,71 @@ def _tail(text: str) -> tuple[str, str, str]:
     tokens = _TOKEN.findall(text[-400:])
     if not tokens:
         return "", "", ""
-    before = _shape(tokens[-2]) if len(tokens) > 1 else "^"
+    before = _SHAPES[tokens[-2]] if len(tokens) > 1 else "^"
     last = tokens[-1]
-    owner, mark, word = last.rpartition("#")
-    return word, f"{before} {_shape(last)}", f"# {word}" if mark else f"{before} {word}"
+    _, mark, word = last.rpartition("#")
+    return word, f"{before} {_SHAPES[last]}", f"# {word}" if mark else f"{before} {word}"
+
 
+#: What follows a token, by the next one; anything else means that more words follow.
+_FOLLOWS = {**{c: "stop" for c in _STOPS}, "\n": "line"}
 
-def _statistics(texts: Iterator[str], prose: bool, counts: Counter) -> None:
-    for text in texts:
+
+class _Counts:
+    """Counters of one source: pairs of shapes with what follows them, and tokens."""
+
+    def __init__(self):
+        self.pairs: Counter = Counter()
+        self.tokens: Counter = Counter()
+
+    def prose(self, text: str) -> None:
+        tokens = _TOKEN.findall(text.rstrip())
+        if not tokens:
+            return
+        shapes = [_SHAPES[t] for t in tokens]
+        follows = [_FOLLOWS.get(t, "more") for t in tokens[1:]]
+        follows.append("stop" if tokens[-1] in _STOPS else "end")
+        self.pairs.update(zip(["^", *shapes], shapes, follows))
+        self.tokens.update(tokens[:-1])
+
+    def code(self, text: str) -> None:
         body = text.rstrip()
-        if prose:
-            tokens = [(m.group(), m.end()) for m in _TOKEN.finditer(body)]
-            before = "^"
-            for k, (token, end) in enumerate(tokens):
-                shape = _shape(token)
-                follows = body[end : end + 1]
-                if k + 1 == len(tokens):
-                    kind = "stop" if token in _STOPS else "end"
-                elif follows in _STOPS and (end + 1 >= len(body) or not body[end + 1].isalnum() or _CJK.match(token)):
-                    kind = "stop"
-                elif follows == "\n":
-                    kind = "line"
-                else:
-                    kind = "more"
-                counts[kind, f"{before} {shape}"] += 1
-                if k + 1 < len(tokens) and (token[0].isalpha() or token[0] == "_"):
-                    for word in token.split("#"):
-                        counts["word", word] += 1
-                    if "#" in token:
-                        counts["more", "# " + token.rpartition("#")[2]] += 1
-                before = shape
-        else:
-            words = _WORD.findall(body)
-            if words and body.endswith(words[-1]):
-                words.pop()
-            counts.update(("word", w) for w in words)
+        words = _WORD.findall(body)
+        if words and body.endswith(words[-1]):
+            words.pop()
+        self.tokens.update(words)
+
+    def rows(self, source: str) -> list[tuple[str, str, str, int]]:
+        out = [(source, kind, f"{a} {b}", n) for (a, b, kind), n in self.pairs.items() if b != "^"]
+        words: Counter = Counter()
+        for token, n in self.tokens.items():
+            owner, mark, last = token.rpartition("#")
+            if last[:1].isalpha() or last[:1] == "_":
+                words[last] += n
+            if mark:
+                words[owner] += n
+                out.append((source, "more", f"# {last}", n))
+        return out + [(source, "word", w, n) for w, n in words.items()]
 
 
 def tail_statistics(texts: DataFrame) -> DataFrame:
     """``(source, kind, key, n)`` over ``(source, prose, text)``; counted map-side, then summed."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[str, Counter] = {}
+        totals: dict[str, _Counts] = {}
 
         def rows() -> pd.DataFrame:
-            out = [(s, kind, key, n) for s, c in totals.items() for (kind, key), n in c.items()]
+            out = [r for s, c in totals.items() for r in c.rows(s)]
             totals.clear()
             return pd.DataFrame(out, columns=["source", "kind", "key", "n"])
 
         for frame in frames:
             for (source, prose), part in frame.groupby(["source", "prose"]):
-                _statistics(part["text"], bool(prose), totals.setdefault(source, Counter()))
-            if sum(map(len, totals.values())) > 300_000:
+                counts = totals.setdefault(source, _Counts())
+                one = counts.prose if prose else counts.code
+                for text in part["text"]:
+                    one(text)
+            if sum(len(c.pairs) + len(c.tokens) for c in totals.values()) > 300_000:
                 yield rows()
         yield rows()
 
@@ -183,11 +212,12 @@ def _code_end(path: str, base: str, content: str) -> str:
     end = next((x for x in reversed(newer) if x), "")
     partial_blank = bool(lines[-1]) and not lines[-1].strip()  # ends within an indentation
     braced = name.endswith((".java", ".js", ".css", ".ts", ".kt"))
-    deeper = braced and _open_brackets(base) > max(0, _open_brackets(content))
-    if last == end and not (partial_blank and deeper):
+    if last == end and not partial_blank:
         return "whole"
-    if deeper:
+    if braced and _open_brackets(base) > max(0, _open_brackets(content)):
         return "cut"
+    if last == end:
+        return "whole"
     if last and last not in newer and any(len(x) > len(last) and x.startswith(last) for x in newer):
         return "cut"
     stripped = base.rstrip()
@@ -221,7 +251,7 @@ def _records(events: DataFrame, chunks: DataFrame) -> DataFrame:
         # an unchanged base cannot be cut: spare Python the second copy
         F.col("content").alias("newer"),
     ).where(F.col("newer").isNull() | (F.rtrim("text") != F.rtrim("newer")))
-    return a.unionByName(b).where(F.col("record_id").isNotNull() & (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    return a.unionByName(b).where(F.col("record_id").isNotNull() & F.col("text").rlike(r"\S"))
 
 
 def judge_ends(records: DataFrame) -> DataFrame:
@@ -278,8 +308,9 @@ def cut_values(events: DataFrame, chunks: DataFrame) -> DataFrame:
     words = events.select(F.lit("agent_event").alias("source"), F.lit(True).alias("prose"), F.col("message").alias("text")).unionByName(
         chunks.select(F.lit("code_chunk").alias("source"), F.lit(False).alias("prose"), F.col("base_content").alias("text"))
     )
-    statistics = tail_statistics(words.where(F.length("text") > 0))
-    ends = judge_ends(records).dropDuplicates(["source_table", "record_id"])
+    # each pass over the texts is made once: its small result goes to the checkpoint folder
+    statistics = durable(tail_statistics(words.where(F.length("text") > 0)))
+    ends = durable(judge_ends(records).dropDuplicates(["source_table", "record_id"]))
     open_ends = ends.where("state = 'open'").select("*", F.abs(F.hash("record_id") % SALTS).alias("salt"))
 
     def salted(df: DataFrame) -> DataFrame:
@@ -287,7 +318,7 @@ def cut_values(events: DataFrame, chunks: DataFrame) -> DataFrame:
 
     # only the tails that occur are looked up; a frequent tail is spread over the salts
     sought = open_ends.select("source_table", F.explode(F.array_distinct(F.array("token", "after"))).alias("node")).where("node <> ''").distinct()
-    nodes = vocabulary_trie(statistics).withColumnRenamed("source", "source_table").join(sought, ["source_table", "node"], "left_semi")
+    nodes = durable(vocabulary_trie(statistics).withColumnRenamed("source", "source_table").join(sought, ["source_table", "node"], "left_semi"))
     pairs = (
         statistics.where("kind <> 'word'")
         .join(open_ends.where("pair <> ''").select(F.col("pair").alias("key")).distinct(), "key", "left_semi")
@@ -310,7 +341,7 @@ def cut_values(events: DataFrame, chunks: DataFrame) -> DataFrame:
     prefix = unknown | (rare("after") & (F.col("after_below") >= LEAST_USES))
     share = (F.col("stop") + F.col("line") + F.col("end")) / (F.col("stop") + F.col("line") + F.col("end") + F.col("more"))
     goes_on = F.coalesce((F.col("more") >= LEAST_USES) & (share < STOP_SHARE), F.lit(False))
-    judged = seen.select("source_table", "record_id", "kind", "length", (prefix | goes_on).alias("sure"), "more", share.alias("share"))
+    judged = durable(seen.select("source_table", "record_id", "kind", "length", (prefix | goes_on).alias("sure"), "more", share.alias("share")))
     sure = ends.where("state = 'cut'").select("source_table", "record_id", "kind", "length").unionByName(
         judged.where("sure").select("source_table", "record_id", "kind", "length")
     )
@@ -325,7 +356,7 @@ def cut_shares(events: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Counts distinct record ids with a non-blank value; a null kind is a group of its own.
     """
-    none_blank = F.trim(F.regexp_replace(F.col("text"), r"\s+", " ")) != ""
+    none_blank = F.col("text").rlike(r"\S")
     a = events.select(F.lit("agent_event").alias("source_table"), F.col("event_id").cast("long").alias("record_id"), F.col("agent_type").alias("kind"), F.col("message").alias("text"))
     b = chunks.select(F.lit("code_chunk").alias("source_table"), F.col("id").cast("long").alias("record_id"), F.col("chunk_type").alias("kind"), F.col("base_content").alias("text"))
     ids = a.unionByName(b).where(none_blank & F.col("record_id").isNotNull()).select("source_table", "record_id", "kind").dropDuplicates(["source_table", "record_id"])
