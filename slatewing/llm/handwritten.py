@@ -148,27 +148,30 @@ def fit(chunks: DataFrame, tasks: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """
     projects = tasks.where("id is not null").groupBy(F.col("id").alias("task_id")).agg(F.min("project_id").alias("project_id"))
     key = file_key(F.col("file_path"))
-    rows = chunks.where("id is not null and file_path is not null and length(content) > 0").select(
-        "id", "task_id", key.alias("path"), "content", weak_label(key, F.col("content")).alias("label")
-    )
+    rows = chunks.where("id is not null and file_path is not null and length(content) > 0").select("id", "task_id", key.alias("path"), "content")
+    # the choice is made on ids alone; only the chosen rows' texts are read again
     rank = F.xxhash64("id", F.lit("sample"))
-    picked = [rows.where(F.col("label") == s).orderBy(rank, "id").limit(sample_rows) for s in (0, 1)]
-    sample = picked[0].unionByName(picked[1]).join(projects, "task_id", "left")
+    ranked = rows.select("id", weak_label(F.col("path"), F.col("content")).alias("label"), rank.alias("rank"))
+    chosen = [r for s in (0, 1) for r in ranked.where(F.col("label") == s).orderBy("rank", "id").limit(sample_rows).collect()]
+    session = chunks.sparkSession
+    picked = session.createDataFrame([(r.id, r.label) for r in chosen], "id long, label int").distinct()
+    sample = rows.join(F.broadcast(picked), "id").join(projects, "task_id", "left").repartition(session.sparkContext.defaultParallelism)
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             made = [features(p, c) for p, c in zip(frame["path"], frame["content"])]
             yield pd.DataFrame({
                 "label": frame["label"], "project": frame["project_id"],
-                "index": [i.tolist() for i, _ in made], "value": [v.tolist() for _, v in made],
+                "index": [i.astype(np.int32).tobytes() for i, _ in made], "value": [v.astype(np.float32).tobytes() for _, v in made],
             })
 
-    data = sample.mapInPandas(extract, "label int, project string, index array<int>, value array<float>").toPandas()
+    data = sample.mapInPandas(extract, "label int, project string, index binary, value binary").collect()
     if not len(data):
         return Classifier(np.zeros(DIMENSIONS), -1.0, 0, 0.0)
-    made = [(np.array(i, np.int64), np.array(v, np.float64)) for i, v in zip(data["index"], data["value"])]
-    labels = np.where(data["label"].to_numpy() == 1, 1, -1)
-    held = np.array([_hash(str(p)) % HELD_OUT == 0 for p in data["project"]])
+    data.sort(key=lambda r: (r["label"], bytes(r["index"]), bytes(r["value"])))  # rows arrive in any order
+    made = [(np.frombuffer(r["index"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(np.float64)) for r in data]
+    labels = np.array([1 if r.label == 1 else -1 for r in data])
+    held = np.array([_hash(str(r.project)) % HELD_OUT == 0 for r in data])
     use = np.flatnonzero(~held)
     weights, bias = _solve([made[i] for i in use], labels[use])
     margins = np.array([weights[i] @ v + bias for i, v in made])
@@ -205,7 +208,7 @@ def file_scores(chunks: DataFrame, model: Classifier) -> DataFrame:
     )
 
 
-def files_not_handwritten(chunks: DataFrame, tasks: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.0) -> DataFrame:
+def files_not_handwritten(chunks: DataFrame, tasks: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = -0.05) -> DataFrame:
     """``(task_id, file_path)``, with each spelling that occurs, of the files that were not written by
     hand for the project.
 
