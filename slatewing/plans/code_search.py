@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from slatewing.functions import text as T
 from slatewing.operators import search
+from slatewing.operators import snapshot_diff as D
 from slatewing.plans.code_rules import _LINES, _PATH, _SETS
+from slatewing.plans.snapshots import _SNAPSHOTS
 from slatewing.session import spread, table
 from slatewing.sources import java
 
@@ -36,25 +38,29 @@ def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", "additions", "deletions", F.size("old_ranges").alias("old_ranges"), F.size("new_ranges").alias("new_ranges")).distinct()
 
 
-def similarity_match(spark: SparkSession, sf_dir: str, least: float = 0.7) -> DataFrame:
-    """Methods of one class that left and came between consecutive tasks under other signatures, paired
-    where each is the other's best and they share at least ``least`` of their tokens."""
-    order = Window.partitionBy("project_id").orderBy("created_at", "id")
-    t = table(spark, sf_dir, "audit_task").groupBy("id").agg(F.max_by(F.struct("project_id", "created_at"), "version").alias("t")).select("id", "t.*")
-    t = t.withColumn("next_id", F.lead("id").over(order)).where("next_id is not null").select(F.col("id").alias("task_id"), "next_id")
-    m = table(spark, sf_dir, "code_chunk").where("chunk_type = 'METHOD' and symbol_name is not null and content is not null")
-    m = m.select("id", "task_id", "symbol_name", F.substring_index("symbol_name", "#", 1).alias("owner"), T.tokens(F.col("content")).alias("tokens")).distinct()
-    old = m.join(t, "task_id").select(F.col("next_id").alias("task_id"), "owner", "symbol_name", F.col("id").alias("old_id"), F.col("tokens").alias("old_tokens"))
-    new = m.select("task_id", "owner", "symbol_name", F.col("id").alias("new_id"), F.col("tokens").alias("new_tokens"))
-    gone = old.join(new, ["task_id", "owner", "symbol_name"], "left_anti").drop("symbol_name")
-    came = new.join(old, ["task_id", "owner", "symbol_name"], "left_anti").drop("symbol_name")
-    pairs = gone.join(came, ["task_id", "owner"]).select("task_id", "old_id", "new_id", F.round(T.jaccard(F.col("old_tokens"), F.col("new_tokens")), 6).alias("score")).where(F.col("score") >= least)
-    best = [F.row_number().over(Window.partitionBy("task_id", a).orderBy(F.desc("score"), b)).alias(n) for a, b, n in (("old_id", "new_id", "r"), ("new_id", "old_id", "s"))]
+def similarity_match(spark: SparkSession, sf_dir: str, least: float = 0.3) -> DataFrame:
+    """Findings of one type and file that left and came between consecutive snapshots under other
+    fingerprints, paired where each is the other's best and their texts share at least ``least`` of
+    their words."""
+    findings, tasks = table(spark, sf_dir, "finding"), table(spark, sf_dir, "audit_task")
+    order = D.snapshot_order(tasks)
+    before = order.where("next_task_id is not null").select("task_id", "next_task_id")
+    key = F.lower(D.squeezed(F.col("fingerprint")))
+    f = findings.select("task_id", key.alias("fp"), "type", T.normal_path(F.col("file_path")).alias("path"), T.tokens(F.concat_ws(" ", "title", "description")).alias("tokens"), "created_at").where("fp <> ''")
+    f = f.groupBy("task_id", "fp").agg(F.max_by(F.struct("type", "path", "tokens"), F.struct("created_at", "tokens")).alias("r")).select("task_id", "fp", "r.*")
+    new = f.join(order.where("position > 0").select("task_id"), "task_id")
+    old = f.join(before, "task_id").drop("task_id").withColumnRenamed("next_task_id", "task_id")
+    came = new.join(old, ["task_id", "fp"], "left_anti").select("task_id", "type", "path", F.col("fp").alias("new_fp"), F.col("tokens").alias("new_tokens"))
+    gone = old.join(new, ["task_id", "fp"], "left_anti").select("task_id", "type", "path", F.col("fp").alias("old_fp"), F.col("tokens").alias("old_tokens"))
+    score = F.round(T.jaccard(F.col("old_tokens"), F.col("new_tokens")), 6)
+    pairs = gone.join(came, ["task_id", "type", "path"]).select("task_id", "old_fp", "new_fp", score.alias("score")).where(F.col("score") >= least)
+    best = [F.row_number().over(Window.partitionBy("task_id", a).orderBy(F.desc("score"), b)).alias(n) for a, b, n in (("old_fp", "new_fp", "r"), ("new_fp", "old_fp", "s"))]
     return pairs.select("*", *best).where("r = 1 and s = 1").drop("r", "s")
 
 
 QUERIES = {f.__name__: f for f in (search_code, search_symbols, read_source, java_methods, line_diff, similarity_match)}
 
+_VALID = _SNAPSHOTS[: _SNAPSHOTS.index(",\nstates as")]
 _SIMPLE = "lower(regexp_replace(regexp_replace(symbol_name, '\\(.*', ''), '^.*[#.:]', ''))"
 SQL = {
     "search_code": f"""with l as (select distinct id, path, len(r) as last_line, i as line_no from (select id, path, r, unnest(r) as x, generate_subscripts(r, 1) as i from (select id, {_PATH.format('file_path')} as path, {_LINES} as r from code_chunk where content is not null)) where contains(lower(x), 'selectbyid(') and regexp_matches(path, '^(?:.*/)?service/.*$')),
@@ -67,13 +73,14 @@ SQL = {
       s as (select id, symbol_name, path, start_line, (case when {_SIMPLE} = 'archive' then 100 when contains(lower(symbol_name), 'archive') then 50 else 0 end + case when contains(lower(coalesce(endpoint, '')), 'archive') then 20 else 0 end + case when contains(lower(path), 'archive') then 10 else 0 end)::int as score from r)
       select * from (select *, row_number() over (order by score desc, path, start_line, id) as place from s where score > 0) where place between 6 and 25""",
     "read_source": f"select distinct id, (start_line + i - 1)::int as line_no, x as line from (select id, start_line, unnest(r) as x, generate_subscripts(r, 1) as i from (select id, start_line, {_LINES} as r from code_chunk where content is not null and id in (select id from code_chunk where endpoint is not null))) where start_line + i - 1 between 1 and 60",
-    "similarity_match": f"""with t as (select id, arg_max(project_id, version) as project_id, arg_max(created_at, version) as created_at from audit_task group by id),
-      n as (select id, lead(id) over (partition by project_id order by created_at, id) as next_id from t),
-      m as (select distinct id, task_id, symbol_name, split_part(symbol_name, '#', 1) as owner, {_SETS.format("content")} as tokens from code_chunk where chunk_type = 'METHOD' and symbol_name is not null and content is not null),
-      o as (select n.next_id as task_id, owner, symbol_name, m.id as old_id, tokens from m join n on n.id = m.task_id where n.next_id is not null),
-      g as (select * from o where not exists (select 1 from m where m.task_id = o.task_id and m.symbol_name = o.symbol_name)),
-      c as (select * from m where not exists (select 1 from o where o.task_id = m.task_id and o.symbol_name = m.symbol_name)),
-      p as (select g.task_id, old_id, c.id as new_id, round(case when len(list_distinct(list_concat(g.tokens, c.tokens))) = 0 then 1.0 else len(list_intersect(g.tokens, c.tokens)) / len(list_distinct(list_concat(g.tokens, c.tokens))) end, 6) as score from g join c on c.task_id = g.task_id and c.owner = g.owner),
-      k as (select *, row_number() over (partition by task_id, old_id order by score desc, new_id) as r, row_number() over (partition by task_id, new_id order by score desc, old_id) as s from p where score >= 0.7)
-      select task_id, old_id, new_id, score from k where r = 1 and s = 1""",
+    "similarity_match": _VALID + f"""
+      , f as (select task_id, fp, arg_max({{'type': type, 'path': path, 'tokens': tokens}}, {{'c': created_at, 't': tokens}}) as r from (
+        select task_id, lower(trim(regexp_replace(fingerprint, '\\s+', ' ', 'g'))) as fp, type, {_PATH.format('file_path')} as path, {_SETS.format("concat_ws(' ', title, description)")} as tokens, created_at from finding) where fp <> '' group by 1, 2),
+      n as (select f.* from f join snap using (task_id) where pos > 0),
+      o as (select snap.task_id, f.fp, f.r from f join snap on snap.prev = f.task_id),
+      c as (select * from n where not exists (select 1 from o where o.task_id = n.task_id and o.fp = n.fp)),
+      g as (select * from o where not exists (select 1 from n where n.task_id = o.task_id and n.fp = o.fp)),
+      p as (select g.task_id, g.fp as old_fp, c.fp as new_fp, round(len(list_intersect(g.r.tokens, c.r.tokens)) / len(list_distinct(list_concat(g.r.tokens, c.r.tokens))), 6) as score from g join c on c.task_id = g.task_id and c.r.type = g.r.type and c.r.path = g.r.path),
+      k as (select *, row_number() over (partition by task_id, old_fp order by score desc, new_fp) as r, row_number() over (partition by task_id, new_fp order by score desc, old_fp) as s from p where score >= 0.3)
+      select task_id, old_fp, new_fp, score from k where r = 1 and s = 1""",
 }
