@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from slatewing.llm.automaton import Automaton
 from slatewing.llm.units import line_starts
@@ -397,6 +398,7 @@ def mask_credentials(chunks: DataFrame) -> DataFrame:
             frame["content"] = [t.masked() if t else x for t, x in zip(read, texts)]
             yield frame
 
-    return chunks.select("id", "file_path", "content").mapInPandas(
-        mask, "id long, file_path string, content string, masked_values int"
-    )
+    # ids travel as text: a null among them would turn the batch's numbers into floats
+    rows = chunks.select(F.col("id").cast("string").alias("id"), "file_path", "content")
+    masked = rows.mapInPandas(mask, "id string, file_path string, content string, masked_values int")
+    return masked.withColumn("id", F.col("id").cast("long"))

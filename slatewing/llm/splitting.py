@@ -151,10 +151,10 @@ def split_chunks(
     ``start_line``/``end_line`` count in the file (the row's start_line plus the place in content; the
     row's end_line may be stale and is not used; a null start_line counts as 1). ``first_line_no`` is
     the piece's first line within the row and ``unit_line_nos`` are the lines within the row at which
-    units begin in the part that the piece adds. Null or short contents give no rows; a row delivered
+    units begin in the part that the piece adds. Null or short contents and null ids give no rows; a row delivered
     twice is split once for each delivery (callers that need one drop duplicates on (id, piece_no)).
     """
-    big = chunks.where(
+    big = chunks.where(F.col("id").isNotNull()).where(
         (F.length("content") > max_chars)
         | (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) >= max_lines)
     ).select("id", "task_id", "file_path", "chunk_type", "start_line", "content")
