@@ -27,9 +27,10 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[str
 def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, order: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``island``: intervals of a key that overlap, touch within ``gap``, or are linked by others
     share a number. Null bounds make an island of their own row."""
-    by = Window.partitionBy(*keys).orderBy(start, end, *order)
-    reach = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | F.col(start).isNull() | F.col(end).isNull() | (F.col(start) > reach + gap), 1).otherwise(0)
+    open_ended = F.col(start).isNull() | F.col(end).isNull()
+    by = Window.partitionBy(*keys).orderBy(open_ended.desc(), start, end, *order)
+    reach = F.max(F.when(~open_ended, F.col(end))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reach.isNull() | open_ended | (F.col(start) > reach + gap), 1).otherwise(0)
     return df.withColumn("_fresh", fresh).withColumn("island", F.sum("_fresh").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
 
 
