@@ -31,6 +31,8 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, through: Column | Non
     """
     steps = edges.select("src", "dst") if through is None else edges.where(through).select("src", "dst")
     steps = steps.distinct()
+    if depth > CUT_EVERY:  # many rounds read the edges
+        steps = durable(steps)
     seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct()
     frontier = seen
     for k in range(1, depth + 1):
@@ -40,6 +42,8 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, through: Column | Non
         )
         frontier = _round(frontier, k)
         seen = _round(seen.unionByName(frontier), k)
+        if k % CUT_EVERY == 0 and frontier.isEmpty():
+            break
     return seen
 
 
@@ -67,10 +71,10 @@ def simple_paths(edges: DataFrame, starts: DataFrame, depth: int, carry: dict[st
 def fixpoint(edges: DataFrame, facts: DataFrame, rounds: int = 50) -> DataFrame:
     """Facts ``(node, fact)`` spread from ``dst`` to ``src`` until nothing is new (or ``rounds``)."""
     seen = durable(facts.select("node", "fact").distinct())
-    fresh = seen
+    fresh, steps = seen, durable(edges.select("src", "dst").distinct())
     for _ in range(rounds):
         fresh = durable(
-            fresh.join(edges.select("src", "dst").distinct(), F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "fact").distinct()
+            fresh.join(steps, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "fact").distinct()
             .join(seen, ["node", "fact"], "left_anti")
         )
         if fresh.isEmpty():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slatewing.functions import text as T
 from slatewing.operators import rules
-from slatewing.session import small_side, table
+from slatewing.session import small_side, spread, table
 from slatewing.sources import roles
 
 
@@ -101,7 +101,7 @@ def excerpt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_scan_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(table(spark, sf_dir, "code_chunk"))
+    return rules.scan(spread(table(spark, sf_dir, "code_chunk").select("id", "task_id", "file_path", "symbol_name", "endpoint", "start_line", "content")))
 
 
 #: RE2 has no lookahead: what may follow ``;\s*`` without being ``if`` directly behind the semicolon or blanks.
@@ -142,7 +142,7 @@ def rule_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stable identity of each rule result: type, path, symbol and the code around the line."""
-    c = table(spark, sf_dir, "code_chunk").where("content is not null")
+    c = spread(table(spark, sf_dir, "code_chunk").where("content is not null").select("id", "file_path", "symbol_name", "endpoint", "start_line", "content"))
     hits = rules.scan(c, keep=("id", "file_path", "symbol_name", "start_line", "content"))
     bare = F.transform(T.lines(F.col("content")), T.without_blanks)
     at = F.col("line") - F.col("start_line")
