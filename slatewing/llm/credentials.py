@@ -43,6 +43,7 @@ ANCHORS = {
     "address": ("[A-Za-z]://[^\\s/]", False),
     "scheme": ("(basic|bearer) [A-Za-z0-9+/]", True),
     "password": ("passw|pwd|passphrase|passcode|kennwort|mot_?-?de_?-?passe|contrase|(pass|pw|psw|clave)[\"']?\\s?[=:(]", True),
+    "short": ("[a-z_](Pass|Pw|Pwd|PASS|PW|Psw)[^A-Za-z]|[\"'](pass|pw|psw)[\"'\\\\]", False),
     "named": ("secret|credential|token", True),
     "key": (
         "(api|secret|access|private|signing|sign|auth|encryption|encrypt|crypt|salt|master|server|client|aes|hmac|shared|account|storage|jwt|license|deploy|host|rsa|session)[\\-_.]?key",
