@@ -18,22 +18,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slatewing.session import durable
+
 #: Rows of each label that the classifier is fitted on, at most (chosen by a hash of their id).
 SAMPLE_ROWS = 3000
+#: Projects that share a library's package root, at least; what certain evidence adds to a score.
+SHARED_BY, KNOWN = 3, 0.7
 #: Hashed dimensions, n-gram length, passes of the solver, regularisation, held-out share of projects.
 DIMENSIONS, GRAM, PASSES, COST, HELD_OUT = 1 << 15, 4, 12, 1.0, 5
 
 #: Phrases of headers that tools and licences write.
 _HEADER = (
     r"auto-?\s?generated|<auto-generated|generated (?:by|from|with|using) [\w./-]+|@generated|do not (?:edit|modify|change)|code generated"
-    r"|manual changes will be lost|rebuilt on each|edit the grammar instead|source: \S+\.(?:proto|thrift|avsc|xsd|wsdl|g4|fbs)"
+    r"|manual changes will be lost|hand edits (?:get|are|will be) (?:overwritten|lost)|overwritten (?:by|on|at) (?:each|every|the next)|rebuilt on each|edit the grammar instead|source: \S+\.(?:proto|thrift|avsc|xsd|wsdl|g4|fbs)"
     r"|automatisch (?:erzeugt|generiert)|nicht bearbeiten|est produit par|ne pas modifier|généré automatiquement|generado automáticamente|no editar"
     r"|自动生成|请勿手工?修改|自動生成|licen[cs]e at |permission is (?:hereby )?g(?:iven|ranted)|\(c\) the [\w.-]+ contributors|spdx-license|licensed under|all rights reserved"
 )
 _GENERATED_ANNOTATION = r"@(?:javax\.annotation\.(?:processing\.)?|jakarta\.annotation\.)?Generated\s*\("
 #: Folders and name parts that only tools and package managers make.
 _PLACES = r"(?:^|/)(?:node_modules|bower_components|third[_-]party|generated|generated-sources|generated-src|__generated__|build/gen|target/gen)/|\.(?:min|bundle|generated)\.\w+$|\.pb\.\w+$"
-_TOP_COMMENT = re.compile(r"\A(?:\s|/\*.*?\*/|//[^\n]*(?:\n|\Z)|<!--.*?-->)*", re.S)
+#: What may stand before the first declaration: comments, package and import lines, annotations.
+_COMMENT = r"/\*[\s\S]*?\*/|//[^\n]*+|<!--[\s\S]*?-->"
+_HEAD = rf"\A(?:\s++|{_COMMENT}|(?:package|import)\b[^\n]*+|@(?!interface\b)[^\n]*+)*+"
+_HEAD_RE, _COMMENT_RE, _HEADER_RE = re.compile(_HEAD), re.compile(_COMMENT), re.compile(_HEADER, re.I)
+_ANNOTATED_RE, _PLACES_RE = re.compile(_GENERATED_ANNOTATION), re.compile(_PLACES, re.I)
+_PACKAGE = re.compile(r"^\s*(?:package|import(?:\s+static)?)\s+([\w.]+)", re.M)
 _MASKED = re.compile(rf"{_GENERATED_ANNOTATION}[^)]*\)|//# ?sourceMappingURL=\S+|/\*!.*", re.I)
 _FOLDED = re.compile(r"\d+")
 
@@ -49,18 +58,16 @@ def file_key(path: Column) -> Column:
 def weak_label(key: Column, content: Column) -> Column:
     """1 for rows with a giveaway, else 0."""
     # possessive repetitions: no backtracking, whatever the text
-    top = F.regexp_extract(content, r"\A(?:\s++|/\*[\s\S]*?\*/|//[^\n]*+|<!--[\s\S]*?-->|#[^\n]*+)*+", 0)
-    annotated = content.rlike(
-        r"\A(?:\s++|/\*[\s\S]*?\*/|//[^\n]*+|(?:package|import)\b[^\n]*+|@(?!(?:javax|jakarta|Generated)\b)[^\n]*+)*+" + _GENERATED_ANNOTATION
-    )
+    head = F.regexp_extract(content, _HEAD, 0)
     size = F.length(content)
-    plain = F.length(F.regexp_replace(content, r"\"[^\"\n]*+\"|'[^'\n]*+'|\(byte\)\s?|0x[0-9a-fA-F]++|[0-9.]++", ""))
+    # numbers and strings without blanks: a long query or message is no data
+    plain = F.length(F.regexp_replace(content, r"\"[^\"\s]*+\"|'[^'\s]*+'|\(byte\)\s?|0x[0-9a-fA-F]++|[0-9.]++", ""))
     inserts = (size - F.length(F.replace(content, F.lit("INSERT INTO"), F.lit("")))) / 11
     code = key.rlike(r"\.(?:java|js|ts|py|kt|go|c|h|cpp|cs|sql)$")
     data = code & (size > 600) & ((plain < 0.5 * size) | ((inserts >= 10) & (inserts * 110 > size)))
     lines = size - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1
     packed = key.rlike(r"\.(?:js|mjs|css)$") & (size > 600) & (size > 200 * lines)
-    given = top.rlike(f"(?i){_HEADER}") | annotated | key.rlike(f"(?i){_PLACES}") | data | packed
+    given = head.rlike(f"(?i){_HEADER}") | head.rlike(_GENERATED_ANNOTATION) | key.rlike(f"(?i){_PLACES}") | data | packed
     return F.when(given, 1).otherwise(0)
 
 
@@ -84,9 +91,29 @@ def _path_features(path: str, content: str) -> list[str]:
     return out
 
 
+def giveaway(path: str, content: str) -> bool:
+    """Whether a tool's or licence's header, or a place that only tools fill, tells where the file is from."""
+    head = _HEAD_RE.match(content).group()
+    return bool(_HEADER_RE.search(head) or _ANNOTATED_RE.search(head) or _PLACES_RE.search(path))
+
+
+def library(path: str, content: str) -> str | None:
+    """The package root (three parts) that names a Java file's type: its own package, or one that it
+    imports, whose last part the type's name begins with."""
+    name = path.rsplit("/", 1)[-1]
+    if not name.endswith(".java"):
+        return None
+    for m in _PACKAGE.finditer(_HEAD_RE.match(content).group()):
+        root = m.group(1).split(".")[:3]
+        if len(root) == 3 and len(root[2]) > 4 and name.lower().startswith(root[2].lower()):
+            return ".".join(root)
+    return None
+
+
 def features(path: str, content: str) -> tuple[np.ndarray, np.ndarray]:
     """Sparse vector of unit length: logs of hashed n-gram counts of the masked text, and the path."""
-    text = _FOLDED.sub("0", _MASKED.sub("", content[_TOP_COMMENT.match(content).end() :]))
+    head = _HEAD_RE.match(content).group()
+    text = _FOLDED.sub("0", _MASKED.sub("", _COMMENT_RE.sub("", head) + content[len(head) :]))
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(codes) >= GRAM:
         n = len(codes) - GRAM + 1
@@ -140,13 +167,17 @@ def _solve(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tup
     return weights, bias
 
 
+def _projects(tasks: DataFrame) -> DataFrame:
+    return tasks.where("id is not null").groupBy(F.col("id").alias("task_id")).agg(F.min("project_id").alias("project_id"))
+
+
 def fit(chunks: DataFrame, tasks: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """Fit on at most ``sample_rows`` rows of each weak label.
 
     Unlabelled rows are taken as hand-written at first; those that the first fit puts clearly on the
     other side are left out of the second. One in ``HELD_OUT`` projects is kept for validation.
     """
-    projects = tasks.where("id is not null").groupBy(F.col("id").alias("task_id")).agg(F.min("project_id").alias("project_id"))
+    projects = _projects(tasks)
     key = file_key(F.col("file_path"))
     rows = chunks.where("id is not null and file_path is not null and length(content) > 0").select("id", "task_id", key.alias("path"), "content")
     # the choice is made on ids alone; only the chosen rows' texts are read again
@@ -182,33 +213,45 @@ def fit(chunks: DataFrame, tasks: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return Classifier(weights, bias, int(held.sum()), agree)
 
 
-def file_scores(chunks: DataFrame, model: Classifier) -> DataFrame:
-    """``(task_id, path, score, characters, spellings)`` for each file of each task; a file's score is the
-    mean of its rows' scores by length."""
+def file_scores(chunks: DataFrame, tasks: DataFrame, model: Classifier) -> DataFrame:
+    """``(task_id, path, score, characters, spellings)`` for each file of each task.
+
+    A file's score is the mean of its rows' scores by length, raised by what is certain beside it: a
+    giveaway in any of its rows, or a type named after a package root that several projects share.
+    """
     weights, bias = model.weights.astype(np.float32), model.bias
     shared = chunks.sparkSession.sparkContext.broadcast(weights)  # DIMENSIONS numbers, whatever the input
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
         for frame in frames:
-            scores = []
+            rows = []
             for path, content in zip(frame["path"], frame["content"]):
                 index, value = features(path, content)
-                scores.append(float(w[index] @ value + bias))
-            yield frame[["task_id", "file_path", "path"]].assign(size=frame["content"].str.len(), score=scores)
+                rows.append((float(w[index] @ value + bias), giveaway(path, content), library(path, content), len(content)))
+            made = pd.DataFrame(rows, columns=["score", "given", "library", "size"])
+            yield pd.concat([frame[["task_id", "file_path", "path"]].reset_index(drop=True), made], axis=1)
 
     rows = chunks.where("task_id is not null and file_path is not null and length(content) > 0").select(
         "task_id", "file_path", file_key(F.col("file_path")).alias("path"), "content"
     )
-    scored = rows.mapInPandas(score, "task_id string, file_path string, path string, size long, score double")
-    return scored.groupBy("task_id", "path").agg(
-        (F.sum(F.col("score") * F.col("size")) / F.sum("size")).alias("score"),
-        F.sum("size").alias("characters"),
-        F.collect_set("file_path").alias("spellings"),
+    scored = rows.mapInPandas(score, "task_id string, file_path string, path string, score double, given boolean, library string, size long")
+    files = durable(
+        scored.groupBy("task_id", "path").agg(
+            (F.sum(F.col("score") * F.col("size")) / F.sum("size")).alias("score"),
+            F.max("given").alias("given"),
+            F.max("library").alias("library"),
+            F.sum("size").alias("characters"),
+            F.collect_set("file_path").alias("spellings"),
+        )
     )
+    homes = files.where("library is not null").select("task_id", "library").distinct().join(_projects(tasks), "task_id")
+    foreign = homes.groupBy("library").agg(F.countDistinct("project_id").alias("projects")).where(F.col("projects") >= SHARED_BY)
+    known = F.when(F.col("given"), KNOWN).otherwise(0.0) + F.when(F.col("projects").isNotNull(), KNOWN).otherwise(0.0)
+    return files.join(foreign, "library", "left").select("task_id", "path", (F.col("score") + known).alias("score"), "characters", "spellings")
 
 
-def files_not_handwritten(chunks: DataFrame, tasks: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = -0.05) -> DataFrame:
+def files_not_handwritten(chunks: DataFrame, tasks: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = -0.1) -> DataFrame:
     """``(task_id, file_path)``, with each spelling that occurs, of the files that were not written by
     hand for the project.
 
@@ -216,5 +259,5 @@ def files_not_handwritten(chunks: DataFrame, tasks: DataFrame, sample_rows: int
     twice counts once or twice alike.
     """
     model = fit(chunks, tasks, sample_rows)
-    files = file_scores(chunks, model).where(F.col("score") > threshold)
+    files = file_scores(chunks, tasks, model).where(F.col("score") > threshold)
     return files.select("task_id", F.explode("spellings").alias("file_path")).distinct()
