@@ -29,8 +29,12 @@ from pyspark.sql import functions as F
 from slatewing.session import durable
 
 TOPICS, ITERATIONS, SUBSAMPLE, SEED = 84, 40, 0.1, 1
-VOCABULARY, LEAST_DOCUMENTS, COMMON_SHARE = 8192, 3, 0.05
-ROUNDS, TOP_TERMS = 6, 20
+#: Words of the topic model; pairs of neighbouring words that sentences are judged by besides.
+VOCABULARY, PAIRS, LEAST_DOCUMENTS, COMMON_SHARE = 8192, 8192, 3, 0.05
+ROUNDS, TOP_TERMS = 8, 20
+#: What a sentence without area counts against its words: little, so that words that sentences of one
+#: area bring along can come to speak for it.
+NONE_WEIGHT = 0.1
 #: Share of a document's sentences that makes it one about an area.
 ABOUT_SHARE = 0.25
 #: A word speaks for areas if one has this share of it; least score and lead of a sentence's area.
@@ -77,6 +81,14 @@ def _words(documents: DataFrame) -> DataFrame:
     return documents.where("doc_id is not null and length(trim(text)) > 0").select("doc_id", words.alias("words"))
 
 
+def _frequent_pairs(words: DataFrame) -> list[str]:
+    """Pairs of neighbouring words, most frequent first."""
+    n = F.size("words") - 1
+    pairs = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    count = CountVectorizer(inputCol="pairs", outputCol="x", vocabSize=PAIRS, minDF=LEAST_DOCUMENTS, maxDF=COMMON_SHARE)
+    return list(count.fit(words.where(n > 0).select(pairs.alias("pairs"))).vocabulary)
+
+
 def _topic_areas(model: LDAModel, counted: DataFrame, labels: DataFrame, areas: list[str], names: dict[str, set[str]], terms: list[list[str]]) -> np.ndarray:
     """Topics x areas, each row a distribution."""
     k = len(terms)
@@ -110,7 +122,8 @@ def _encoded(documents: DataFrame, words: list[str], quoted: set[str]) -> DataFr
                     if quoted and len(ws) > 2 and sum(w in quoted for w in ws) >= QUOTED_SHARE * len(ws):
                         continue
                     n += 1
-                    if ids := [number[w] for w in ws if w in number]:
+                    terms = [*ws, *map(" ".join, zip(ws, ws[1:]))]
+                    if ids := [number[w] for w in terms if w in number]:
                         own.append(ids)
                 units.append(own)
                 counted.append(n)
@@ -192,14 +205,19 @@ def fit_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame, quot
     terms = [[vocabulary[i] for i in np.argsort(-matrix[:, t])[:TOP_TERMS]] for t in range(topics)]
     mapped = _topic_areas(model, counted, labels, areas, names, terms)
     counted.unpersist()
+    # pairs begin without evidence and gain it in the rounds
+    pairs = _frequent_pairs(words)
+    start = np.vstack([(matrix @ mapped) / matrix.sum(1, keepdims=True), np.zeros((len(pairs), len(areas)))])
+    vocabulary = [*vocabulary, *pairs]
     found = AreaModel(
-        areas, vocabulary, (matrix @ mapped) / matrix.sum(1, keepdims=True),
+        areas, vocabulary, start,
         [(t, areas[int(mapped[t].argmax())], terms[t]) for t in range(topics)],
     )
     encoded = durable(_encoded(documents, vocabulary, quoted))
     for _ in range(ROUNDS):
         cells = _recount(encoded, found.evidence(), len(vocabulary))
-        found.weights = (cells[:, :-1] + 0.05) / (cells.sum(1, keepdims=True) + 0.05 * len(areas))
+        own, none = cells[:, :-1], cells[:, -1:]
+        found.weights = (own + 0.05) / (own.sum(1, keepdims=True) + NONE_WEIGHT * none + 0.05 * len(areas))
     return found, encoded
 
 
