@@ -28,10 +28,13 @@ from pyspark.sql import functions as F
 
 from slatewing.session import durable
 
-TOPICS, ITERATIONS, SUBSAMPLE, SEED = 84, 40, 0.1, 1
+#: Topics, updates, share of the documents in each (at least so many documents), seed.
+TOPICS, ITERATIONS, SUBSAMPLE, LEAST_BATCH, SEED = 84, 25, 0.1, 1000, 1
 #: Words of the topic model; pairs of neighbouring words that sentences are judged by besides.
 VOCABULARY, PAIRS, LEAST_DOCUMENTS, COMMON_SHARE = 8192, 8192, 3, 0.05
 ROUNDS, TOP_TERMS = 8, 20
+#: Rated documents that a topic's word counts like, where raters' documents hold the word as well.
+TOPIC_WEIGHT = 3.0
 #: What a sentence without area counts against its words: little, so that words that sentences of one
 #: area bring along can come to speak for it.
 NONE_WEIGHT = 0.1
@@ -91,23 +94,39 @@ def _frequent_pairs(words: DataFrame) -> list[str]:
 
 def _topic_areas(model: LDAModel, counted: DataFrame, labels: DataFrame, areas: list[str], names: dict[str, set[str]], terms: list[list[str]]) -> np.ndarray:
     """Topics x areas, each row a distribution."""
-    k = len(terms)
     rated = labels.where("doc_id is not null and area_code is not null").select("doc_id", "area_code").distinct()
     theta = model.transform(counted.join(rated.select("doc_id").distinct(), "doc_id")).select(
         "doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "p")
     )
     sums = theta.join(rated, "doc_id").groupBy("topic", "area_code").agg(F.sum("p").alias("n")).collect()  # topics x areas rows
-    seen = np.zeros((k, len(areas)))
+    seen = np.zeros((len(terms), len(areas)))
     for r in sums:
         if r.area_code in areas:
             seen[r.topic, areas.index(r.area_code)] = r.n
-    shares = (seen + 0.02) / (seen.sum(0) + 0.02 * k)
+    shares = (seen + 0.02) / (seen.sum(0) + 0.02 * len(terms))
     for t, top in enumerate(terms):
         for a, area in enumerate(areas):
-            shares[t, a] += 0.02 / k * len(names[area] & set(top))
+            shares[t, a] += 0.02 / len(terms) * len(names[area] & set(top))
     return shares / shares.sum(1, keepdims=True)
 
 
+def _rated_words(words: DataFrame, labels: DataFrame, areas: list[str], vocabulary: list[str]) -> np.ndarray:
+    """Vocabulary x areas: rated documents of each area that hold the word, weighed so that all areas have
+    the same weight."""
+    rated = labels.where("doc_id is not null and area_code is not null").select("doc_id", "area_code").distinct()
+    held = words.join(rated, "doc_id").select("area_code", "doc_id", F.explode(F.array_distinct("words")).alias("word"))
+    per = held.groupBy("area_code", "word").agg(F.count("*").alias("n"))
+    out = np.zeros((len(vocabulary), len(areas)))
+    number = {w: i for i, w in enumerate(vocabulary)}
+    known = words.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string")
+    for r in per.join(F.broadcast(known), "word").collect():  # at most vocabulary x areas rows
+        if r.area_code in areas:
+            out[number[r.word], areas.index(r.area_code)] = r.n
+    total = {r.area_code: r.n for r in rated.groupBy("area_code").agg(F.count("*").alias("n")).collect()}
+    sizes = np.array([total.get(a, 0) for a in areas], float)
+    return out * (sizes.mean() / np.maximum(sizes, 1))
+
+
 def _encoded(documents: DataFrame, words: list[str], quoted: set[str]) -> DataFrame:
     """``(doc_id, units array<array<int>>, counted)``: sentences as word numbers; ``counted`` is the number
     of sentences that are not quoted."""
@@ -197,8 +216,9 @@ def fit_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame, quot
     vectorizer = count.fit(words)
     vocabulary = vectorizer.vocabulary
     counted = vectorizer.transform(words).select("doc_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    n = counted.count()
     model = LDA(
-        k=topics, maxIter=ITERATIONS, optimizer="online", subsamplingRate=SUBSAMPLE, seed=SEED, learningOffset=10,
+        k=topics, maxIter=ITERATIONS, optimizer="online", subsamplingRate=min(1.0, max(SUBSAMPLE, LEAST_BATCH / max(n, 1))), seed=SEED, learningOffset=10,
         docConcentration=[0.05] * topics, topicConcentration=0.02, optimizeDocConcentration=False,
     ).fit(counted)
     matrix = model.topicsMatrix().toArray()
@@ -207,7 +227,10 @@ def fit_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame, quot
     counted.unpersist()
     # pairs begin without evidence and gain it in the rounds
     pairs = _frequent_pairs(words)
-    start = np.vstack([(matrix @ mapped) / matrix.sum(1, keepdims=True), np.zeros((len(pairs), len(areas)))])
+    by_topic = (matrix @ mapped) / matrix.sum(1, keepdims=True)
+    by_rater = _rated_words(words, labels, areas, vocabulary)
+    both = (TOPIC_WEIGHT * by_topic + by_rater) / (TOPIC_WEIGHT + by_rater.sum(1, keepdims=True))
+    start = np.vstack([both, np.zeros((len(pairs), len(areas)))])
     vocabulary = [*vocabulary, *pairs]
     found = AreaModel(
         areas, vocabulary, start,
