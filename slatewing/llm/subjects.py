@@ -294,10 +294,9 @@ def document_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
 def corpus_makeup(documents: DataFrame, labels: DataFrame, subjects: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """``(area_code, documents, share)``: documents about each area, as a share of all with an area; every
     area of the list has a row."""
-    areas = document_areas(documents, labels, subjects, items)
+    areas = durable(document_areas(documents, labels, subjects, items))
+    total = areas.select(F.countDistinct("doc_id")).first()[0]
     per = areas.groupBy("area_code").agg(F.count("*").alias("documents"))
-    total = areas.select(F.countDistinct("doc_id").alias("total"))
-    return (
-        subjects.select("area_code").distinct().join(per, "area_code", "left").crossJoin(F.broadcast(total))
-        .select("area_code", F.coalesce("documents", F.lit(0)).alias("documents"), F.round(F.coalesce("documents", F.lit(0)) / F.greatest("total", F.lit(1)), 6).alias("share"))
-    )
+    known = subjects.where("area_code is not null").select("area_code").distinct().join(per, "area_code", "left")
+    n = F.coalesce("documents", F.lit(0))
+    return known.select("area_code", n.alias("documents"), F.round(n / max(total, 1), 6).alias("share"))

@@ -61,6 +61,8 @@ def test_document_areas(spark, monkeypatch):
     right = sum(got.get(i) == {document(i)[0]} for i in range(240))
     assert right >= 228 and not set(got) & {900, 901, 902, None}
     assert S.document_areas(d.limit(0), labels, subjects).count() == 0
+    empty = {r.area_code: (r.documents, r.share) for r in S.corpus_makeup(d.limit(0), labels, subjects).collect()}
+    assert empty == {a: (0, 0.0) for a in model.areas}
 
 
 def test_queries_run(spark, sf_dir):
