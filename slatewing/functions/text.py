@@ -119,3 +119,26 @@ def head_tail(c: Column, limit: int, marker: str = "\n...\n") -> Column:
     head = room * 2 // 3
     cut = F.concat(F.substring(c, 1, head), F.lit(marker), F.right(c, F.lit(room - head)))
     return F.when(F.length(c) <= limit, c).otherwise(cut)
+
+
+#: Literals (kept) or comments (dropped) of C-like sources; text blocks first.
+LITERAL_OR_COMMENT = r"(\"\"\"[\s\S]*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|//[^\n]*|/\*[\s\S]*?\*/"
+
+
+def without_comments(c: Column) -> Column:
+    """Comments removed, literals and line ends outside of block comments kept."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), LITERAL_OR_COMMENT, "$1")
+
+
+def json_body(c: Column) -> Column:
+    """The outermost braces of a text, without a code fence around them; null where there are none."""
+    body = F.regexp_extract(F.regexp_replace(F.coalesce(c, F.lit("")), r"```(?:json)?", ""), r"(?s)\{.*\}", 0)
+    return F.when(body != "", body)
+
+
+def any_token(c: Column, query: str) -> Column:
+    """Whether any token of two or more characters of the query stands in the text, ignoring case."""
+    import re
+
+    words = [w for w in re.split(r"[^a-z0-9_$#{}./-]+", query.lower()) if len(w) >= 2]
+    return contains_any(c, words) if words else F.lit(False)
