@@ -27,6 +27,8 @@ STOP_SHARE = 0.08
 LIMIT_SHARE = 0.5
 #: A word this rare against the words that it begins does not count as known.
 KNOWN_SHARE = 0.002
+#: Uses of a predecessor that are needed to call what follows odd, and the share below which it is.
+ODD_USES, ODD_SHARE = 200, 0.005
 #: Uses of a tail that are needed to judge by it.
 LEAST_USES = 4
 #: Open ends at one exact length that make it a limit, and how many times the neighbours' average.
@@ -331,7 +333,14 @@ def cut_values(events: DataFrame, chunks: DataFrame) -> DataFrame:
             "source_table", F.col("node").alias(column), F.col("ends").alias(column + "_ends"), F.col("below").alias(column + "_below")
         )
         seen = seen.join(salted(named), ["source_table", column, "salt"], "left")
-    seen = seen.join(salted(pairs), ["pair", "salt"], "left")
+    seen = seen.join(salted(pairs), ["pair", "salt"], "left").withColumn("before", F.substring_index("pair", " ", 1))
+    befores = (
+        statistics.where("kind <> 'word'")
+        .groupBy(F.substring_index("key", " ", 1).alias("before"))
+        .agg(F.sum("n").alias("after_before"))
+        .join(seen.where("pair <> ''").select("before").distinct(), "before", "left_semi")
+    )
+    seen = seen.join(salted(befores), ["before", "salt"], "left")
 
     def rare(column: str) -> Column:
         ends, below = F.coalesce(column + "_ends", F.lit(0)), F.coalesce(column + "_below", F.lit(0))
@@ -341,7 +350,11 @@ def cut_values(events: DataFrame, chunks: DataFrame) -> DataFrame:
     prefix = unknown | (rare("after") & (F.col("after_below") >= LEAST_USES))
     share = (F.col("stop") + F.col("line") + F.col("end")) / (F.col("stop") + F.col("line") + F.col("end") + F.col("more"))
     goes_on = F.coalesce((F.col("more") >= LEAST_USES) & (share < STOP_SHARE), F.lit(False))
-    judged = durable(seen.select("source_table", "record_id", "kind", "length", (prefix | goes_on).alias("sure"), "more", share.alias("share")))
+    # a word that practically never stands behind its predecessor: the beginning of one that does
+    worded = (F.col("token") != "") & F.col("before").rlike(r"^\p{L}{2,}$")
+    odd = worded & (F.col("after_before") >= ODD_USES) & (F.col("stop") + F.col("line") + F.col("end") + F.col("more") <= ODD_SHARE * F.col("after_before"))
+    sure_end = prefix | goes_on | F.coalesce(odd, F.lit(False))
+    judged = durable(seen.select("source_table", "record_id", "kind", "length", sure_end.alias("sure"), "more", share.alias("share")))
     sure = ends.where("state = 'cut'").select("source_table", "record_id", "kind", "length").unionByName(
         judged.where("sure").select("source_table", "record_id", "kind", "length")
     )
