@@ -179,7 +179,7 @@ SQL = {
     "hunk_groups": """with e as (select distinct id, i as pos, old_ranges[i] as o, new_ranges[i] as n from (select *, unnest(range(1, len(new_ranges) + 1)) as i from git_file_change where len(old_ranges) = len(new_ranges))),
       h as (select *, case when o.start - lag(o."end") over w <= 3 and n.start - lag(n."end") over w <= 3 then 0 else 1 end as fresh from e window w as (partition by id order by pos)),
       k as (select *, sum(fresh) over (partition by id order by pos) as hunk from h)
-      select id, hunk, count(*) as edits, min(n.start) as first_line, max(n."end") as end_line from k group by id, hunk""",
+      select id, hunk::bigint as hunk, count(*) as edits, min(n.start) as first_line, max(n."end") as end_line from k group by id, k.hunk""",
     "one_to_one_match": f"""with {_P}, t as (select id, arg_max(project_id, version) as project_id, arg_max(created_at, version) as created_at from audit_task group by id),
       o as (select id, lead(id) over (partition by project_id order by created_at, id) as next_id from t),
       n as (select *, row_number() over (partition by task_id, symbol_name order by path, start_line, id) as k from pieces where symbol_name is not null)

@@ -121,6 +121,6 @@ SQL = {
       s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as n from g)
       select user_id, epoch_us(min(ts)) as session_start, count(*) as events from s group by user_id, n""",
     "stream_dedup": "select distinct on (event_id) event_id, user_id, event_type from events",
-    "json_extract": "select event_type, (props ->> '$.k')::int % 10 as bucket, count(*) as events, sum((props ->> '$.k')::int) as total from events group by 1, 2",
+    "json_extract": "select event_type, (props ->> '$.k')::int % 10 as bucket, count(*) as events, sum((props ->> '$.k')::int)::bigint as total from events group by 1, 2",
     "tool_calls": "select coalesce(tool, '') as tool, count(*) as calls from (select distinct event_id, case when json_valid(message) then message ->> '$.tool' end as tool from agent_event where event_type = 'TOOL_CALL') group by 1",
 }
