@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -138,7 +139,5 @@ def json_body(c: Column) -> Column:
 
 def any_token(c: Column, query: str) -> Column:
     """Whether any token of two or more characters of the query stands in the text, ignoring case."""
-    import re
-
     words = [w for w in re.split(r"[^a-z0-9_$#{}./-]+", query.lower()) if len(w) >= 2]
     return contains_any(c, words) if words else F.lit(False)

@@ -45,7 +45,8 @@ def search_code(chunks: DataFrame, **arguments) -> DataFrame:
     path = T.normal_path(F.col("file_path"))
     rows = chunks.where(F.contains(F.lower("content"), F.lit(a["query"].lower()))).select("id", path.alias("path"), T.lines(F.col("content")).alias("lines"))
     if "glob" in a:
-        rows = rows.where(F.col("path" if "/" in a["glob"] else "path").rlike(T.glob_pattern(a["glob"] if "/" in a["glob"] else "**/" + a["glob"])))
+        glob = a["glob"] if "/" in a["glob"] else "**/" + a["glob"]  # without a slash it is a file's name
+        rows = rows.where(F.col("path").rlike(T.glob_pattern(glob)))
     hits = rows.distinct().select("id", "path", F.size("lines").alias("last_line"), F.posexplode("lines").alias("pos", "line")).where(F.contains(F.lower("line"), F.lit(a["query"].lower())))
     found = context_windows(hits.withColumn("line_no", F.col("pos") + 1), ["path", "id"], "line_no", a.get("context", 1), "last_line")
     return page(found, ["path", "id", "first_line"], a.get("cursor", 0), a.get("limit", DEFAULT_ROWS))

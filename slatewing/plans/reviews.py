@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from slatewing.functions import text as T
 from slatewing.operators import intervals as I
-from slatewing.operators import rules
 from slatewing.plans.change_intervals import _F, _P, _R, _findings, _pieces, _ranges
 from slatewing.plans.code_rules import _PATH, _any, _rule_sql
 from slatewing.plans.code_rules import rule_scan_union as _hits
