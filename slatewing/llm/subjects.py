@@ -1,7 +1,8 @@
 """Subject areas of documents (problem 8), by distributed latent Dirichlet topic models.
 
-1. A topic model is fitted on all documents (words of few documents in twenty, so that the phrases of
-   the trade's small talk drop out).
+1. A topic model is fitted on all documents. Words of more than one document in twenty stay only where
+   rated documents or descriptions show that they speak for an area, whatever its share of the corpus,
+   so that the phrases of the trade's small talk drop out.
 2. Topics are mapped to areas: by the topic proportions of the documents that raters labelled and by
    the words that a topic's top terms share with the areas' descriptions.
 3. The model's word weights give each word a distribution over areas. It is sharpened in a few rounds
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ from slatewing.session import durable
 TOPICS, ITERATIONS, SUBSAMPLE, LEAST_BATCH, SEED = 84, 25, 0.1, 1000, 1
 #: Words of the topic model; pairs of neighbouring words that sentences are judged by besides.
 VOCABULARY, PAIRS, LEAST_DOCUMENTS, COMMON_SHARE = 8192, 8192, 3, 0.05
+#: Standard deviations by which an area's rated documents must hold a common word more often than the others.
+COMMON_LEAD = 4.0
 ROUNDS, TOP_TERMS = 8, 20
 #: Rated documents that a topic's word counts like, where raters' documents hold the word as well.
 TOPIC_WEIGHT = 3.0
@@ -84,12 +87,34 @@ def _words(documents: DataFrame) -> DataFrame:
     return documents.where("doc_id is not null and length(trim(text)) > 0").select("doc_id", words.alias("words"))
 
 
-def _frequent_pairs(words: DataFrame) -> list[str]:
-    """Pairs of neighbouring words, most frequent first."""
+def _pairs(words: DataFrame) -> DataFrame:
+    """Pairs of neighbouring words as terms."""
     n = F.size("words") - 1
     pairs = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    count = CountVectorizer(inputCol="pairs", outputCol="x", vocabSize=PAIRS, minDF=LEAST_DOCUMENTS, maxDF=COMMON_SHARE)
-    return list(count.fit(words.where(n > 0).select(pairs.alias("pairs"))).vocabulary)
+    return words.where(n > 0).select("doc_id", pairs.alias("words"))
+
+
+def _speaking(common: list[str], terms: DataFrame, labels: DataFrame, areas: list[str], names: dict[str, set[str]]) -> list[str]:
+    """Those of the common terms that speak for an area: its rated documents hold them far more often than
+    those of the other areas, or its description alone names them."""
+    held, sizes = _rated_counts(terms, labels, areas, common)
+    rest = (held.sum(1, keepdims=True) - held + 0.5) / (sizes.sum() - sizes + 1)
+    lead = (held - sizes * rest) / np.sqrt(sizes * rest + 1e-9)
+    rates = held / np.maximum(sizes, 1)
+    best, at = rates.argmax(1), np.arange(len(common))
+    shown = (rates[at, best] > WORD_SHARE * rates.sum(1)) & (lead[at, best] > COMMON_LEAD)
+    return [w for w, s in zip(common, shown) if s or sum(w in own for own in names.values()) == 1]
+
+
+def _frequent(terms: DataFrame, size: int, labels: DataFrame, areas: list[str], names: dict[str, set[str]]) -> list[str]:
+    """Terms of ``words``: the common ones that speak for an area, then the others, most frequent first."""
+    def count(**bounds: float) -> list[str]:
+        return list(CountVectorizer(inputCol="words", outputCol="x", **bounds).fit(terms).vocabulary)
+
+    common = count(minDF=COMMON_SHARE)  # at most the terms of a document / COMMON_SHARE
+    kept = _speaking(common, terms, labels, areas, names)
+    known = set(kept)
+    return [*kept, *(w for w in count(vocabSize=size, minDF=LEAST_DOCUMENTS, maxDF=COMMON_SHARE) if w not in known)][:size]
 
 
 def _topic_areas(model: LDAModel, counted: DataFrame, labels: DataFrame, areas: list[str], names: dict[str, set[str]], terms: list[list[str]]) -> np.ndarray:
@@ -110,9 +135,8 @@ def _topic_areas(model: LDAModel, counted: DataFrame, labels: DataFrame, areas:
     return shares / shares.sum(1, keepdims=True)
 
 
-def _rated_words(words: DataFrame, labels: DataFrame, areas: list[str], vocabulary: list[str]) -> np.ndarray:
-    """Vocabulary x areas: rated documents of each area that hold the word, weighed so that all areas have
-    the same weight."""
+def _rated_counts(words: DataFrame, labels: DataFrame, areas: list[str], vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Vocabulary x areas: rated documents of each area that hold the word; rated documents of each area."""
     rated = labels.where("doc_id is not null and area_code is not null").select("doc_id", "area_code").distinct()
     held = words.join(rated, "doc_id").select("area_code", "doc_id", F.explode(F.array_distinct("words")).alias("word"))
     per = held.groupBy("area_code", "word").agg(F.count("*").alias("n"))
@@ -123,7 +147,13 @@ def _rated_words(words: DataFrame, labels: DataFrame, areas: list[str], vocabula
         if r.area_code in areas:
             out[number[r.word], areas.index(r.area_code)] = r.n
     total = {r.area_code: r.n for r in rated.groupBy("area_code").agg(F.count("*").alias("n")).collect()}
-    sizes = np.array([total.get(a, 0) for a in areas], float)
+    return out, np.array([total.get(a, 0) for a in areas], float)
+
+
+def _rated_words(words: DataFrame, labels: DataFrame, areas: list[str], vocabulary: list[str]) -> np.ndarray:
+    """Vocabulary x areas: rated documents of each area that hold the word, weighed so that all areas have
+    the same weight."""
+    out, sizes = _rated_counts(words, labels, areas, vocabulary)
     return out * (sizes.mean() / np.maximum(sizes, 1))
 
 
@@ -212,9 +242,8 @@ def fit_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame, quot
     names = {a: w | {x[:-1] for x in w if x.endswith("s")} for a, w in names.items()}
     areas = sorted(names)
     words = _words(documents)
-    count = CountVectorizer(inputCol="words", outputCol="features", vocabSize=VOCABULARY, minDF=LEAST_DOCUMENTS, maxDF=COMMON_SHARE)
-    vectorizer = count.fit(words)
-    vocabulary = vectorizer.vocabulary
+    vocabulary = _frequent(words, VOCABULARY, labels, areas, names)
+    vectorizer = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features")
     counted = vectorizer.transform(words).select("doc_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
     n = counted.count()
     model = LDA(
@@ -226,7 +255,7 @@ def fit_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame, quot
     mapped = _topic_areas(model, counted, labels, areas, names, terms)
     counted.unpersist()
     # pairs begin without evidence and gain it in the rounds
-    pairs = _frequent_pairs(words)
+    pairs = _frequent(_pairs(words), PAIRS, labels, areas, names)
     by_topic = (matrix @ mapped) / matrix.sum(1, keepdims=True)
     by_rater = _rated_words(words, labels, areas, vocabulary)
     both = (TOPIC_WEIGHT * by_topic + by_rater) / (TOPIC_WEIGHT + by_rater.sum(1, keepdims=True))

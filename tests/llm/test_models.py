@@ -65,6 +65,20 @@ def test_document_areas(spark, monkeypatch):
     assert empty == {a: (0, 0.0) for a in model.areas}
 
 
+def test_words_of_a_large_area_are_kept(spark, monkeypatch):
+    """Words that stand in most documents stay if rated documents show that they speak for an area."""
+    monkeypatch.setattr(S, "ITERATIONS", 2)
+    monkeypatch.setattr(S, "ROUNDS", 1)
+    own = [i for i in range(360) if i % 3 == 0 or i % 9 == 1 or i % 9 == 2]  # LAW holds most documents
+    d = spark.createDataFrame([(i, document(i)[1]) for i in own], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, document(i)[0]) for i in own if i % 2], "doc_id long, area_code string")
+    subjects = spark.createDataFrame([(a, a.lower(), "") for a in AREAS], "area_code string, area_name string, description string")
+    model, _ = S.fit_areas(d, labels, subjects, set(), topics=4)
+    words = {w for w in model.words if " " not in w}
+    assert {w for own in AREAS.values() for w in own} <= words
+    assert not words & {"the", "links", "one", "guard", "caller", "would", "here", "enough"}
+
+
 def test_queries_run(spark, sf_dir):
     for name in ("p1_found", "p3_found", "p4_found", "p4_pieces", "p5_found", "p6_containers", "p7_found"):
         df = queries.QUERIES[name](spark, sf_dir)
