@@ -103,11 +103,18 @@ def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hunk_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits of a change whose neighbours lie within three lines in both versions form one hunk."""
-    g = table(spark, sf_dir, "git_file_change").where("size(old_ranges) = size(new_ranges)")
-    edits = g.select("id", F.posexplode(F.arrays_zip("old_ranges", "new_ranges")).alias("pos", "e")).distinct()
+    """Edits of a change whose neighbours lie within three lines in both versions form one hunk.
+
+    A side that an edit lacks (insertions, deletions) does not part it; a hunk without new lines has none.
+    """
+    g = table(spark, sf_dir, "git_file_change")
+    # a null list is one without ranges
+    sides = [F.coalesce(c, F.filter(other, lambda _: F.lit(False))).alias(c) for c, other in (("old_ranges", "new_ranges"), ("new_ranges", "old_ranges"))]
+    edits = g.select("id", *sides).select("id", F.posexplode(F.arrays_zip("old_ranges", "new_ranges")).alias("pos", "e")).distinct()
     by = Window.partitionBy("id").orderBy("pos")
-    near = (F.col("e.old_ranges.start") - F.lag("e.old_ranges.end").over(by) <= 3) & (F.col("e.new_ranges.start") - F.lag("e.new_ranges.end").over(by) <= 3)
+    near = F.lag("pos").over(by).isNotNull()
+    for side in ("old_ranges", "new_ranges"):
+        near &= F.coalesce(F.col(f"e.{side}.start") - F.lag(f"e.{side}.end").over(by) <= 3, F.lit(True))
     hunks = edits.withColumn("hunk", F.sum(F.when(near, 0).otherwise(1)).over(by))
     return hunks.groupBy("id", "hunk").agg(F.count("*").alias("edits"), F.min("e.new_ranges.start").alias("first_line"), F.max("e.new_ranges.end").alias("end_line"))
 
