@@ -10,15 +10,12 @@ from slatewing.session import table
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two outgoing pairs (customer's nation, supplier's nation) of each nation, by a mix of its weight
-    that spreads the targets."""
+    """All pairs (customer's nation, supplier's nation) that trade, with their number of lines."""
     li, o, c, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
     per_order = li.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
     named = per_order.join(o.select("o_orderkey", "o_custkey"), per_order["l_orderkey"] == o["o_orderkey"])
     named = named.join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    pairs = named.where("c_nationkey <> s_nationkey").groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.sum("n").alias("weight"))
-    heavy = F.row_number().over(Window.partitionBy("src").orderBy(F.expr("(weight * 7919 + dst * 31 + src) % 101"), "dst"))
-    return pairs.withColumn("k", heavy).where("k <= 2").drop("k")
+    return named.where("c_nationkey <> s_nationkey").groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.sum("n").alias("weight"))
 
 
 def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +62,7 @@ def graph_reverse_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy(F.col("src").alias("caller"), F.col("h").alias("hops")).agg(F.min("dst").alias("via"))
 
 
-def taint_paths(spark: SparkSession, sf_dir: str, per_entry: int = 20) -> DataFrame:
+def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of up to four edges along which a marked argument survives (argument i becomes
     (i + weight) mod 3, unless that is 0 on an odd edge), ending in region 3; HIGH without odd edges."""
     sinks = table(spark, sf_dir, "nation").where("n_regionkey = 3").select(F.col("n_nationkey").alias("node"))
@@ -77,14 +74,18 @@ def taint_paths(spark: SparkSession, sf_dir: str, per_entry: int = 20) -> DataFr
         "odd": (F.lit(0), (F.col("odd") + F.pmod(F.col("weight"), F.lit(2))).cast("int")),
     }
     p = G.simple_paths(_edges(spark, sf_dir), _starts(spark, sf_dir), 4, carry, F.size("taint") > 0).join(sinks, "node", "left_semi")
-    p = p.select("start", "node", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.when(F.col("odd") == 0, "HIGH").otherwise("MEDIUM").alias("confidence"), F.col("odd").alias("gaps"))
+    return p.select("start", "node", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.when(F.col("odd") == 0, "HIGH").otherwise("MEDIUM").alias("confidence"), F.col("odd").alias("gaps"))
+
+
+def taint_paths(spark: SparkSession, sf_dir: str, per_entry: int = 20) -> DataFrame:
+    """The ``per_entry`` shortest flows of each start."""
     rank = F.row_number().over(Window.partitionBy("start").orderBy("hops", "path"))
-    return p.withColumn("place", rank).where(f"place <= {per_entry}").drop("place")
+    return _flows(spark, sf_dir).withColumn("place", rank).where(f"place <= {per_entry}").drop("place")
 
 
 def best_path_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest flow of each (start, end), first by text among equals."""
-    t = taint_paths(spark, sf_dir)
+    """The longest flow of each (start, end), first by text among equals, chosen from all flows."""
+    t = _flows(spark, sf_dir)
     return t.groupBy("start", "node").agg(F.min_by("path", F.struct(-F.col("hops"), F.col("path"))).alias("path"))
 
 

@@ -1,6 +1,6 @@
 """Queries on planted tables, where the SQL beside them sees less than the whole."""
 
-from slatewing.plans import change_intervals
+from slatewing.plans import change_intervals, graphs
 
 
 def test_hunks_of_added_and_deleted_files(spark, tmp_path):
@@ -16,3 +16,33 @@ def test_hunks_of_added_and_deleted_files(spark, tmp_path):
         ("added", 1, 2, 1, 20), ("added", 2, 1, 50, 60), ("added_null", 1, 1, 1, 4), ("both", 1, 2, 1, 6), ("both", 2, 1, 41, 42),
         ("deleted", 1, 1, None, None), ("deleted", 2, 1, None, None), ("deleted_null", 1, 1, None, None),
     ]
+
+
+def _trade(spark, folder, pairs):
+    """Tables in which each (src, dst, lines) is an order of a customer in src with a supplier in dst."""
+    nodes = sorted({n for s, d, _ in pairs for n in (s, d)})
+    rows = {
+        "nation": ([(n, f"N{n}", 3 if n == 5 else 1) for n in nodes], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(n, n) for n in nodes], "c_custkey int, c_nationkey int"),
+        "supplier": ([(n, n) for n in nodes], "s_suppkey int, s_nationkey int"),
+        "orders": ([(i, s) for i, (s, _, _) in enumerate(pairs)], "o_orderkey int, o_custkey int"),
+        "lineitem": ([(i, d) for i, (_, d, n) in enumerate(pairs) for _ in range(n)], "l_orderkey int, l_suppkey int"),
+    }
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_graph_has_all_edges(spark, tmp_path):
+    pairs = [(0, d, 2) for d in range(1, 6)] + [(1, 2, 1)]
+    at = _trade(spark, tmp_path, pairs)
+    assert sorted(map(tuple, graphs._edges(spark, at).select("src", "dst", "weight").collect())) == pairs
+    assert {r.n_nationkey for r in graphs.anti_standalone(spark, at).collect()} == {0}
+
+
+def test_best_path_is_chosen_from_all_flows(spark, tmp_path):
+    """The longest flow of a pair counts, though the limit of flows of its start leaves it out."""
+    pairs = [(s, d, 6) for s in range(6) for d in range(6) if s != d]
+    at = _trade(spark, tmp_path, pairs)
+    assert graphs.taint_paths(spark, at).where("start = 0").count() == 20
+    assert [r.path for r in graphs.best_path_per_key(spark, at).where("start = 0").collect()] == ["0>1>2>3>5"]
