@@ -94,7 +94,7 @@ class _Stock:
             sums = np.fft.irfft(np.fft.rfft(there, size) ** 2, size)
             self.pairs, self.stale = sums[: len(there)] > 0.5, False
         a = np.flatnonzero((self.left[1:gap] > 0) & self.pairs[gap - 1 : 0 : -1]) + 1
-        for first in a[::-1][:64]:
+        for first in a[::-1]:
             if rest := self.pair(int(gap - first), (*held, int(first))):
                 return int(first), *rest
         return None

@@ -137,3 +137,11 @@ def test_leaked_rows(spark):
     got = sorted((r.doc_id, r.item_id, r.words, r.spans[0].first_word) for r in L.leaked_items(d, i).collect())
     assert got == [(1, 7, 12, 1), (5, 7, 40, 3000)]
     assert L.leaked_items(d.limit(0), i).count() == 0 and L.leaked_items(d, i.limit(0)).count() == 0
+
+
+def test_triple_is_found_behind_many_blocked_ones():
+    counts = np.zeros(2049, int)
+    short = range(80, 150)
+    counts[[1, *short, *(1999 - y for y in short), 500, 600, 900]] = 1
+    # the one item of length 1 is held, so the 70 longest first members fail
+    assert P._Stock(counts).triple(2000, (1,)) == (900, 600, 500)
