@@ -27,6 +27,12 @@ def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
+def counted_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Hint a broadcast if ``df`` holds at most ``rows`` rows of a few narrow columns, counted by a job of its own;
+    else leave the join to the optimizer."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in spark.checkpoint.dir; set a local one only if unset."""
     sc = spark.sparkContext
