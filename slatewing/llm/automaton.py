@@ -1,11 +1,11 @@
 """One deterministic automaton for many patterns, run over many chunks at once.
 
-Patterns (literals, classes, groups, alternatives, ``?`` and ``{m,n}``) become one NFA, subset
-construction makes it a DFA with a table over character classes. :meth:`Automaton.scan` cuts texts
+Patterns (literals, classes, groups, alternatives, ``?``, ``*``, ``+`` and ``{m,n}``) become one NFA,
+subset construction makes it a DFA with a table over character classes. :meth:`Automaton.scan` cuts texts
 into overlapping chunks and steps all chunks in lockstep, one table lookup a character position.
-A match is reported where it ends; each pattern's length is bounded, and chunks overlap by the
-longest bound, so no match is lost at a chunk's edge. Hits found in two chunks are deduplicated by
-absolute position.
+A match is reported where it ends. The overlap brings a chunk nearly always to the state that the chunk
+before it ends in; where a long match keeps it from that, the chunk is stepped again from the true state,
+so matches of any length are found. Hits lie at absolute positions, once each.
 """
 
 from __future__ import annotations
@@ -57,6 +57,13 @@ class _Parser:
         while self.peek() not in ("", "|", ")"):
             begin = self.at
             x, y, n = self.atom()
+            if self.peek() == "*" or self.peek() == "+":
+                end = self.state()
+                self.next[b].extend([x] if self.peek() == "+" else [x, end])
+                self.next[y].extend([x, end])
+                self.at += 1
+                b, length = end, length + n
+                continue
             low, high = self.counts()
             stop = self.at
             length += n * (high if high else 1)
@@ -130,7 +137,7 @@ class _Parser:
                 one = set(range(min(one), ord(high) + 1))
             chars |= one
         self.at += 1
-        return set(range(_OTHER + 1)) - chars if negated else chars
+        return set(range(1, _OTHER + 1)) - chars if negated else chars  # texts are joined by code point 0
 
 
 class Automaton:
@@ -210,6 +217,21 @@ class Automaton:
         self.accept[np.arange(len(rows)) * self.classes] = accept
         self.hot = self.accept != 0
 
+    def _step(self, steps: np.ndarray, state: np.ndarray, lap: int, chunks: np.ndarray) -> tuple[np.ndarray, ...]:
+        """States behind the overlap and at the end, and the ends and pattern bits of the hits behind the overlap."""
+        begin = state
+        ends, kinds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, codes in enumerate(steps):
+            if i == lap:
+                begin = state.copy()
+            state = self.table[state + codes]
+            hit = self.hot[state]
+            if i >= lap and hit.any():
+                at = np.flatnonzero(hit)
+                ends.append(chunks[at] * self.chunk + (i - lap) + 1)
+                kinds.append(self.accept[state[at]])
+        return begin, state, np.concatenate(ends), np.concatenate(kinds)
+
     def scan(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(text number, offset behind the match, pattern bits)`` of all hits, ordered.
 
@@ -227,18 +249,12 @@ class Automaton:
         # column k holds the overlap and then chunk k
         view = np.lib.stride_tricks.as_strided(padded, (width, lap + size), (size, 1))
         steps = np.ascontiguousarray(view.T)
-        state = np.zeros(width, np.int32)
-        ends, kinds = [], []
-        for i in range(lap + size):
-            state = self.table[state + steps[i]]
-            hit = self.hot[state]
-            if i >= lap and hit.any():
-                at = np.flatnonzero(hit)
-                ends.append(at * size + (i - lap) + 1)
-                kinds.append(self.accept[state[at]])
-        if not ends:
-            return (np.zeros(0, np.int64),) * 3
-        end, bits = np.concatenate(ends), np.concatenate(kinds)
+        begin, last, end, bits = self._step(steps, np.zeros(width, np.int32), lap, np.arange(width))
+        while len(wrong := np.flatnonzero(begin[1:] != last[:-1]) + 1):
+            begin[wrong] = last[wrong - 1]
+            _, last[wrong], more, kinds = self._step(steps[lap:, wrong], begin[wrong], 0, wrong)
+            kept = ~np.isin((end - 1) // size, wrong)
+            end, bits = np.concatenate((end[kept], more)), np.concatenate((bits[kept], kinds))
         order = np.argsort(end, kind="stable")
         end, bits = end[order], bits[order]
         lengths = np.array([len(t) for t in texts], np.int64)

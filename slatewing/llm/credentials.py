@@ -4,6 +4,9 @@ One automaton (see :mod:`slatewing.llm.automaton`) joins the token formats, the
 connection-string grammar and the names under which secrets are kept. It runs over overlapping chunks
 of the texts; its hits, deduplicated by absolute position, name the places that are read closely:
 there the value's extent is found and judged, and placeholders are spliced over the values.
+
+The expressions of the close reading take time in proportion to the text: each begins at the first character of
+a run only and none gives back what it took (``++``, ``*+``), so a line of any length is read whole.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 from slatewing.llm.automaton import Automaton
 from slatewing.llm.units import line_starts
+from slatewing.session import counted_broadcast
 
 PLACEHOLDER = "MASKED_SECRET"
 #: Characters of text handled at once in a worker.
@@ -39,8 +43,8 @@ ANCHORS = {
     "cloud": ("AIza[A-Za-z0-9_\\-]", False),
     "jwt": ("eyJ[A-Za-z0-9]", False),
     "mail": ("[^A-Za-z0-9_]SG\\.[A-Za-z0-9_\\-]{2}", False),
-    "armor": ("PRIVATE KEY( BLOCK)?-----", False),
-    "address": ("[A-Za-z]://[^\\s/]", False),
+    "armor": ("-----BEGIN ([A-Z0-9]+ ){0,3}PRIVATE KEY( BLOCK)?-----", False),
+    "address": ("[A-Za-z0-9+.\\-]://[^\\s/:@\"'<>]*:[^\\s@\"'<>]+@", False),
     "scheme": ("(basic|bearer) [A-Za-z0-9+/]", True),
     "password": ("passw|pwd|passphrase|passcode|kennwort|mot_?-?de_?-?passe|contrase|(pass|pw|psw|clave)[\"']?\\s?[=:(]", True),
     "short": ("[a-z_](Pass|Pw|Pwd|PASS|PW|Psw)[^A-Za-z]|[\"'](pass|pw|psw)[\"'\\\\]", False),
@@ -61,35 +65,44 @@ def automaton() -> Automaton:
 
 
 _TOKEN = re.compile(
-    r"(?<![A-Za-z0-9_])(?:A(?:KIA|SIA)[0-9A-Z]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}"
-    r"|(?:sk|pk|rk)-[A-Za-z0-9_-]{16,}|npm_[A-Za-z0-9]{16,}|[a-z0-9]{2,8}_(?:live|prod|test)_[A-Za-z0-9]{16,}"
-    r"|xox[abeoprs]-[\w-]{10,}|AIza[\w-]{30,}|eyJ[\w-]{8,}\.[\w-]{8,}(?:\.[\w-]*)?|SG\.[\w-]{16,}\.[\w-]{16,})"
+    r"(?<![A-Za-z0-9_])(?:A(?:KIA|SIA)[0-9A-Z]{12,}+|gh[pousr]_[A-Za-z0-9]{20,}+|github_pat_\w{20,}+|glpat-[\w-]{16,}+"
+    r"|(?:sk|pk|rk)-[A-Za-z0-9_-]{16,}+|npm_[A-Za-z0-9]{16,}+|[a-z0-9]{2,8}_(?:live|prod|test)_[A-Za-z0-9]{16,}+"
+    r"|xox[abeoprs]-[\w-]{10,}+|AIza[\w-]{30,}+|(?<!-)eyJ[\w-]{8,}+\.[\w-]{8,}+(?:\.[\w-]*+)?|SG\.[\w-]{16,}+\.[\w-]{16,}+)"
 )
-_ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
-_ARMOR_BODY = re.compile(r"(?:\s|\\[nr]|[\"'+,#*/]|//|--)*[A-Za-z0-9+/=]{16,}")
-_ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^\s/:@\"'<>]*):([^\s@\"'<>]+)@")
-_SCHEME = re.compile(r"(?i)\b(basic|bearer)\s+([A-Za-z0-9._~+/=-]{6,})")
+_ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]++ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+#: What may stand around the lines of a key's body: blanks, escaped line ends, quotes, joins, comment marks.
+_ARMOR_GAP = re.compile(r"(?:\s|\\+[nrt]|\\+(?=\s)|[\"'`,#*|]|\+(?=[\s\"'])|//(?=\s)|/\*|--(?!-)|\)|\.(?:append|concat|add)\()*+")
+_ARMOR_LINE = re.compile(r"([A-Za-z0-9+/=]+)(?=\s|\\+[nr]|[\"'`<]|-----END|\Z)")
+_ARMOR_HEAD = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset): ?[^\n\\\"]*+")
+_SEGMENT = re.compile(r"(?<![^\s@\"'<>])([^\s@\"'<>]++)@")
+_ADDRESS = re.compile(r"(?<=[A-Za-z0-9+.\-])://[^\s/:]*+:")
+_SCHEME = re.compile(r"(?i)\b(basic|bearer)\s++([A-Za-z0-9._~+/=-]{6,}+)")
+#: A name from its first letter on; digits, dots and dashes may precede it.
+_NAME = r"(?<![\w.\-])(?:(?![A-Za-z_À-ÿ])[\w.\-])*+([A-Za-z_À-ÿ][\w.\-]*+)"
 _PAIR = re.compile(
-    r"([A-Za-z_À-ÿ][\w.\-]*)(?:\\?[\"'])?\]?\s*(?:=>|:=|[=:])\s*(?:(\\?)([\"'`])((?:(?!\2\3)(?:\\.|.))*)\2\3|([^\s\"'`]\S*(?: \S+)*))?"
+    _NAME + r"(?:\\?[\"'])?\]?\s*+(?:=>|:=|[=:])\s*+(?:(\\?)([\"'`])((?>(?:(?!\2\3)(?:\\.|.))*+))\2\3|([^\s\"'`]\S*+(?: \S++)*+))?"
 )
-_CALL = re.compile(r"\bset([A-Z]\w*)\(\s*\"([^\"]*)\"")
-_LISTED = re.compile(r"[\"']([A-Za-z][\w.\-]*)[\"']\s*,\s*[\"']([^\"']*)[\"']")
-_LOGIN = re.compile(r"(?i)\b\w*(?:login|logon|connect|authenticate|credentials?)\(\s*(?:[^()\"]*,\s*)?\"[^\"]*\"\s*,\s*\"([^\"]*)\"\s*\)")
-_EQUALS = re.compile(r"\"([^\"]+)\"\s*\.equals(?:IgnoreCase)?\([^;]*\"([\w.\-]+)\"")
-_EQUALS_BACK = re.compile(r"\"([\w.\-]+)\"\)?\s*\.equals(?:IgnoreCase)?\(\s*\"([^\"]+)\"")
-_WAS = re.compile(r"([A-Za-z_][\w.\-]*) (?:was|is|war|ist|est|était|es|era)\s*:? ?[\"'`]([^\"'`]+)[\"'`]")
-_SQL = re.compile(r"(?i)\b(?:password|identified\s+by(?:\s+password)?)\s+'((?:''|[^'])*)'")
-_ELEMENT = re.compile(r"<([A-Za-z][\w.\-:]*)(?:\s[^<>]*)?>([^<>]+)</\1\s*>")
-_PROPERTY = re.compile(r"<\w[^<>]*?\b(?:name|key)\s*=\s*\"([\w.\-]+)\"[^<>]*?\bvalue\s*=\s*\"([^\"]*)\"")
-_CHARS = re.compile(r"([A-Za-z_]\w*)\s*(?:\[\])?\s*=\s*(?:new\s+char\s*\[\s*\]\s*)?\{((?:\s*'(?:\\.|[^'\\])'\s*,?)+)\s*\}")
-_DEFAULT = re.compile(r"\$\{([\w.\-]+):-?([^{}]*)\}")
-_DECODE = re.compile(r"([A-Za-z_]\w*)\s*=[^;\"]*\bdecode\w*\(\s*\"([A-Za-z0-9+/=_-]{12,})\"")
-_FIRST_LITERAL = re.compile(r"[=(,:]\s*\"([^\"\s\\]{3,})\"\s*(\+)?\s*$")
-_NEXT_LITERAL = re.compile(r"\s*\+?\s*\"([^\"\s\\]{3,})\"\s*(\+)?\s*[;,)]*\s*$")
-_ENV_NAME = re.compile(r"\s*-?\s*(?:name|key)\s*:\s*[\"']?([\w.\-]+)[\"']?\s*$")
-_ENV_VALUE = re.compile(r"\s*-?\s*value\s*:\s*(?:\"([^\"]*)\"|'([^']*)'|(\S.*?))\s*$")
-_OPEN_VALUE = re.compile(r"([A-Za-z_][\w.\-]*)[\"']?\s*[=:]\s*(?:\\|[|>][+-]?\d?)?\s*$")
-_CONTINUED = re.compile(r"\s*[#!]?\s*([\w.\-]+)\s*[=:]\s*(\S+?)\\$")
+_CALL = re.compile(r"\bset([A-Z]\w*+)\(\s*+\"([^\"]*+)\"")
+_LISTED = re.compile(r"[\"']([A-Za-z][\w.\-]*+)[\"']\s*+,\s*+[\"']([^\"']*+)[\"']")
+_LOGIN = re.compile(r"(?i)\b\w*(?:login|logon|connect|authenticate|credentials?)\(\s*+(?:[^()\"]*,\s*+)?\"[^\"]*+\"\s*+,\s*+\"([^\"]*+)\"\s*+\)")
+_EQUALS = re.compile(r"\"([^\"]++)\"\s*+\.equals(?:IgnoreCase)?\([^;\"]*+\"([\w.\-]++)\"")
+_EQUALS_BACK = re.compile(r"\"([\w.\-]++)\"\)?\s*+\.equals(?:IgnoreCase)?\(\s*+\"([^\"]++)\"")
+_WAS = re.compile(_NAME + r" (?:was|is|war|ist|est|était|es|era)\s*+:? ?[\"'`]([^\"'`]++)[\"'`]")
+_SQL = re.compile(r"(?i)\b(?:password|identified\s++by(?:\s++password)?)\s++'((?:''|[^'])*)'")
+_ELEMENT = re.compile(r"<([A-Za-z][\w.\-:]*+)(?:\s[^<>]*+)?>([^<>]++)</\1\s*+>")
+_PROPERTY = re.compile(r"<\w(?>[^<>]*?\b(?:name|key)\s*+=\s*+\"([\w.\-]++)\")[^<>]*?\bvalue\s*+=\s*+\"([^\"]*+)\"")
+_CHARS = re.compile(r"(?<!\w)(?:\d*+)([A-Za-z_]\w*+)\s*+(?:\[\]\s*+)?=\s*+(?:new\s++char\s*+\[\s*+\]\s*+)?\{((?:\s*+'(?:\\.|[^'\\])'\s*+,?)++)\s*+\}")
+_DEFAULT = re.compile(r"\$\{([\w.\-]++):-?([^{}]*+)\}")
+_DECODE = re.compile(r"\bdecode\w*+\(\s*+\"([A-Za-z0-9+/=_-]{12,}+)\"")
+_DECODED = re.compile(r"(?<!\w)\d*+([A-Za-z_]\w*+)\s*+=")
+_FIRST_LITERAL = re.compile(r"[=(,:]\s*+\"([^\"\s\\]{3,}+)\"\s*+(\+)?\s*+$")
+_NEXT_LITERAL = re.compile(r"\s*+\+?\s*+\"([^\"\s\\]{3,}+)\"\s*+(\+)?\s*+[;,)]*+\s*+$")
+_ENV_NAME = re.compile(r"\s*+-?\s*+(?:name|key)\s*+:\s*+[\"']?([\w.\-]++)[\"']?\s*+$")
+_ENV_VALUE = re.compile(r"\s*+-?\s*+value\s*+:\s*+(?:\"([^\"]*+)\"\s*+$|'([^']*+)'\s*+$|(\S.*+))")
+_BLOCK_MARK = re.compile(r"(?:\\|[|>][+-]?\d?)\Z")
+_CONTINUED = re.compile(r"\s*+[#!]?\s*+([\w.\-]++)\s*+[=:]\s*+(\S+?)\\$")
+_QUERY = re.compile(r"(?<=[;&? ,])(?:amp;)?([A-Za-z_][\w\-]*+)=([^\s;&\"'<>,]++)")
+_NESTED = re.compile(r"(?<![\w.\-])(?:(?![A-Za-z_])[\w.\-])*+([A-Za-z_][\w.\-]*+)=([^\s;&\"'<>,]++)")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ÿ]+|\d+")
 
 #: Last words of names that hold secrets; words before "key" that make it one.
@@ -102,11 +115,23 @@ _KEY_WORDS = {
     "api", "secret", "access", "private", "signing", "sign", "auth", "encryption", "encrypt", "crypt", "salt", "master",
     "server", "client", "aes", "hmac", "shared", "account", "storage", "jwt", "license", "deploy", "rsa", "session", "service",
 }
-_STAND_IN = re.compile(
-    r"(?i)(?:\W*(?:null|none|nil|true|false|undefined|n/?a|tbd)?\W*"
-    r"|(?:.*[\W_])?(?:change[-_.]?me|changeit|your|example|placeholder|dummy|redacted|masked|hidden|replace|insert|todo|fixme|sample|fake|xxx+|none|empty|tobeset|unset|foo|bar|test)(?:[\W_].*)?"
-    r"|(.)\1*|[\W_]*(?:\*{3,}|x{4,}|\.{3,}|•+).*|.*(?:\*{4,}|x{6,}|•{3,}|\.{3}))"
+_NO_VALUE = re.compile(r"(?i)\W*+(?:null|none|nil|true|false|undefined|n/?a|tbd)?\W*+")
+_STAND_IN_WORD = re.compile(
+    r"(?i)(?<![^\W_])(?:change[-_.]?me|changeit|your|example|placeholder|dummy|redacted|masked|hidden|replace|insert|todo|fixme|sample|fake"
+    r"|xxx++|none|empty|tobeset|unset|foo|bar|test)(?![^\W_])"
 )
+_COVERED = re.compile(r"[\W_]*+")
+#: Names whose values people choose: passwords may be plain words or several words.
+_CHOSEN = {"password", "passwd", "passwort", "pwd", "pass", "pw", "psw", "passphrase", "kennwort", "passe", "clave", "contrasena", "contraseña", "dbpassword", "userpassword"}
+#: Words that stand under such names as kinds, states or actions, and words of which messages are made.
+_NO_PASSWORDS = {
+    "string", "text", "hidden", "required", "optional", "plain", "plaintext", "basic", "bearer", "bcrypt", "default", "disabled", "enabled", "encoded",
+    "encrypted", "input", "label", "field", "value", "column", "varchar", "object", "reset", "forgot", "forgotten", "login", "user", "username", "account",
+    "current", "confirm", "change", "missing", "invalid", "wrong", "expired", "unknown", "enter", "eingeben", "title", "error", "message", "format", "the",
+    "is", "are", "was", "must", "may", "be", "not", "your", "for", "and", "or", "of", "an", "to", "too", "has", "have", "with", "in", "by", "from", "set",
+    "short", "long", "der", "die", "das", "ist", "sind", "war", "muss", "darf", "nicht", "und", "oder", "ein", "eine", "zu", "im", "von", "mit", "le", "la",
+    "les", "est", "et", "ou", "ne", "pas", "un", "une", "du", "de", "doit", "el", "los", "es", "debe", "no", "y", "una", "su", "read", "only", "manager",
+}
 _REFERENCE = re.compile(
     r"(?i)(?:\$\{|\$\(|#\{|\{\{|%\{|%\w+%|\$[A-Z_]+$|<|@[\w.]+@|\[\[|ENC\(|\{cipher\}|\{(?:vault|secret|bcrypt|sha|ssha|argon|scrypt|pbkdf)[^}]*\}|vault:|env:|ssm:|kms:|arn:|op://|sm://|file:|classpath:|secret(?:s|ref)?[:/]"
     r"|\$2[aby]\$|\$argon|\$[156]\$|System\.|process\.env|os\.environ|getenv|-----BEGIN)"
@@ -128,10 +153,25 @@ def secret_name(name: str) -> bool:
     return words[-1] in _SECRET_WORDS
 
 
+def stand_in(value: str) -> bool:
+    """Whether a value only stands in for one: nothing, one character throughout, a covered sample, or words like 'changeme'."""
+    covered = _COVERED.match(value).group()
+    tail = value[-6:].lower()
+    return bool(
+        _NO_VALUE.fullmatch(value)
+        or len(set(value)) == 1
+        or _STAND_IN_WORD.search(value)
+        or any(x in covered for x in ("***", "...", "•"))
+        or value[len(covered) : len(covered) + 4].lower() == "xxxx"
+        or tail == "xxxxxx"
+        or tail.endswith(("****", "•••", "..."))
+    )
+
+
 def usable(value: str) -> bool:
     """Whether a literal could be used as it stands: no stand-in, no reference, nothing encrypted."""
     v = value.strip()
-    if len(v) < 4 or re.search(r"\s", v) or _REFERENCE.match(v) or _STAND_IN.fullmatch(v):
+    if len(v) < 4 or re.search(r"\s", v) or _REFERENCE.match(v) or stand_in(v):
         return False
     if _TOKEN.fullmatch(v):
         return True
@@ -140,6 +180,44 @@ def usable(value: str) -> bool:
     return not re.fullmatch(r"[\W_]+", v)
 
 
+def chosen(name: str, value: str) -> bool:
+    """Whether a value under a password's name is one that people choose: a plain word in small letters, three words
+    or more that make no message, or three characters with a digit."""
+    words = [w.lower() for w in _WORDS.findall(re.split(r"[.:]", name.rstrip(".-_"))[-1])]
+    v = value.strip()
+    if not words or words[-1] not in _CHOSEN or not v or _REFERENCE.match(v) or stand_in(v):
+        return False
+    parts = v.split(" ")
+    if any(p in _NO_PASSWORDS or secret_name(p) for p in parts):
+        return False
+    if len(parts) == 1:
+        return len(v) >= 5 and v.isalpha() and v.islower() or len(v) == 3 and v.isalnum() and any(map(str.isdigit, v)) and any(map(str.isalpha, v))
+    return len(parts) >= 3 and all(p.isalnum() and p.islower() and len(p) > 1 for p in parts)
+
+
+def held(name: str, value: str) -> bool:
+    """Whether a literal kept under this name is a credential."""
+    return secret_name(name) and (usable(value) or chosen(name, value))
+
+
+def _name_before(text: str, at: int) -> str | None:
+    """The name that is given a value which begins at ``at``."""
+    i = at - (at > 0 and text[at - 1] in "\"'")
+    while i > 0 and text[i - 1].isspace():
+        i -= 1
+    if i == 0 or text[i - 1] not in "=:":
+        return None
+    i -= 1
+    while i > 0 and text[i - 1].isspace():
+        i -= 1
+    i -= i > 0 and text[i - 1] in "\"'"
+    j = i
+    while j > 0 and (text[j - 1].isalnum() or text[j - 1] in "_.-"):
+        j -= 1
+    m = re.search(r"[A-Za-z_]", text[j:i])
+    return text[j + m.start() : i] if m else None
+
+
 def _secretive(joined: str) -> bool:
     """A joined literal that reads as a random value."""
     return (
@@ -172,40 +250,43 @@ class _Text:
 
         for m in _ARMOR.finditer(row):
             self.armor(base + m.start(), base + m.end())
-        if "PRIVATE KEY" in row and "-----" in row:
-            return
         for m in _TOKEN.finditer(row):
-            if not re.search(r"(?i)ENC\($|\{cipher\}$", row[: m.start()]) and usable(m.group()):
+            if not row[max(0, m.start() - 8) : m.start()].lower().endswith(("enc(", "{cipher}")) and usable(m.group()):
                 keep(*m.span())
-        for m in _ADDRESS.finditer(row):
-            if usable(m.group(2)):
-                keep(*m.span(2))
+        for m in _SEGMENT.finditer(row) if "://" in row else ():
+            n = _ADDRESS.search(row, m.start(), m.end(1))
+            if n and n.end() < m.end(1) and usable(row[n.end() : m.end(1)]):
+                keep(n.end(), m.end(1))
         for m in _SCHEME.finditer(row):
             if m.group(1).lower() == "basic":
                 try:
                     user, colon, value = base64.b64decode(m.group(2) + "=" * (-len(m.group(2)) % 4)).partition(b":")
                 except (binascii.Error, ValueError):
                     continue
-                if colon and user and len(value) >= 3 and not _STAND_IN.fullmatch(value.decode("utf-8", "replace")):
+                if colon and user and len(value) >= 3 and not stand_in(value.decode("utf-8", "replace")):
                     keep(*m.span(2))
             elif any(c.isdigit() for c in m.group(2)) and usable(m.group(2)):
                 keep(*m.span(2))
         for pattern, name, value in ((_LISTED, 1, 2), (_WAS, 1, 2), (_ELEMENT, 1, 2), (_PROPERTY, 1, 2), (_EQUALS, 2, 1), (_EQUALS_BACK, 1, 2), (_CALL, 1, 2)):
             for m in pattern.finditer(row):
-                if secret_name(m.group(name)) and usable(m.group(value)):
+                if held(m.group(name), m.group(value)):
                     keep(*m.span(value))
         for m in _LOGIN.finditer(row):
             if usable(m.group(1)):
                 keep(*m.span(1))
         for m in _SQL.finditer(row):
-            if usable(m.group(1)):
+            if usable(m.group(1)) or chosen("password", m.group(1)):
                 keep(*m.span(1))
+        last = 0
         for m in _DECODE.finditer(row):
-            words = [w.lower() for w in _WORDS.findall(m.group(1))]
-            if words and (words[-1] == "key" and words[0] != "public" or secret_name(m.group(1))) and usable(m.group(2)):
-                keep(*m.span(2))
+            begin = max(last, row.rfind(";", last, m.start()) + 1, row.rfind('"', last, m.start()) + 1)
+            n = _DECODED.search(row, begin, m.start())
+            last = m.end()
+            words = [w.lower() for w in _WORDS.findall(n.group(1))] if n else []
+            if words and (words[-1] == "key" and words[0] != "public" or secret_name(n.group(1))) and usable(m.group(1)):
+                keep(*m.span(1))
         for m in _CHARS.finditer(row):
-            if secret_name(m.group(1)) and usable("".join(re.findall(r"'(\\.|[^'])'", m.group(2)))):
+            if held(m.group(1), "".join(re.findall(r"'(\\.|[^'])'", m.group(2)))):
                 keep(*m.span(2))
         self.pairs(row, keep)
         self.joined(k, row)
@@ -222,22 +303,22 @@ class _Text:
                     self.pair(inner, n, lambda a, b, base=base: keep(base + a, base + b), nested=True)
                     if n.group(5):
                         at = base + n.start(5)
-                        for o in re.finditer(r"([A-Za-z_][\w.\-]*)=([^\s;&\"'<>,]+)", n.group(5)):
+                        for o in _NESTED.finditer(n.group(5)):
                             if secret_name(o.group(1)) and usable(o.group(2)):
                                 keep(at + o.start(2), at + o.end(2))
-        for m in re.finditer(r"(?<=[;&? ,])(?:amp;)?([A-Za-z_][\w\-]*)=([^\s;&\"'<>,]+)", row):
+        for m in _QUERY.finditer(row):
             if secret_name(m.group(1)) and usable(m.group(2)) and (not self.code or any(c.isdigit() for c in m.group(2)) and "(" not in m.group(2)):
                 keep(*m.span(2))
         for m in _DEFAULT.finditer(row):
-            outer = re.search(r"([A-Za-z_][\w.\-]*)\s*[=:]\s*[\"']?$", row[: m.start()])
-            if usable(m.group(2)) and (secret_name(m.group(1)) or outer and secret_name(outer.group(1))):
+            outer = _name_before(row, m.start())
+            if held(m.group(1), m.group(2)) or outer and held(outer, m.group(2)):
                 keep(*m.span(2))
 
     def pair(self, row: str, m: re.Match, keep, nested: bool = False) -> None:
         if not secret_name(m.group(1)):
             return
         if m.group(4) is not None:
-            if usable(m.group(4)) and not m.group(4).startswith("${"):
+            if held(m.group(1), m.group(4)) and not m.group(4).startswith("${"):
                 keep(*m.span(4))
             return
         value = m.group(5)
@@ -259,8 +340,8 @@ class _Text:
             value = value.split("<")[0]
         if self.code and comment and not (any(c.isdigit() for c in value) and len(value) >= 6):
             return
-        if usable(value):
-            keep(m.start(5), m.start(5) + len(value))
+        if usable(value) or not self.code and chosen(m.group(1), value):
+            keep(m.start(5), m.start(5) + len(value.rstrip()))
 
     def joined(self, k: int, row: str) -> None:
         """Literals joined over several lines: one value, where it begins."""
@@ -288,48 +369,72 @@ class _Text:
         m = _ENV_NAME.match(row)
         if m and secret_name(m.group(1)) and (v := _ENV_VALUE.match(following)):
             group = next(g for g in (1, 2, 3) if v.group(g) is not None)
-            if usable(v.group(group)):
-                self.spans.add((base + v.start(group), base + v.end(group)))
+            if held(m.group(1), v.group(group)):
+                self.spans.add((base + v.start(group), base + v.start(group) + len(v.group(group).rstrip())))
         m = _CONTINUED.match(row) if self.properties else None
         if m and secret_name(m.group(1)) and usable(m.group(2) + following.strip()):
             self.spans.add((self.starts[k] + m.start(2), self.starts[k] + m.end(2)))
             inner = len(following) - len(following.lstrip())
             self.rest.add((base + inner, base + len(following.rstrip("\\ "))))
-        m = _OPEN_VALUE.search(row)
-        if m and secret_name(m.group(1)):
+        kept = row.rstrip()
+        mark = _BLOCK_MARK.search(kept, max(0, len(kept) - 3))
+        name = _name_before(kept, mark.start() if mark else len(kept))
+        if name and secret_name(name):
             deeper = len(following) - len(following.lstrip()) > len(row) - len(row.lstrip())
             v = re.match(r"\s*\"([^\"]+)\"\s*[;,)]?\s*$", following) if self.code else re.match(r"\s+([^\s:]+)\s*$", following) if deeper else None
             if v and usable(v.group(1)):
                 self.spans.add((base + v.start(1), base + v.end(1)))
 
     def armor(self, a: int, b: int) -> None:
-        if not _ARMOR_BODY.match(self.text, b):
+        """The lines of a key's body behind its BEGIN line: up to its END line, or as long as they are lines of a body."""
+        lines: list[tuple[int, int]] = []
+        at, ended = b, False
+        while True:
+            at = _ARMOR_GAP.match(self.text, at).end()
+            if self.text.startswith("-----END", at):
+                ended = True
+                break
+            if m := _ARMOR_HEAD.match(self.text, at):
+                at = m.end()
+                continue
+            m = _ARMOR_LINE.match(self.text, at)
+            if not m:
+                break
+            lines.append(m.span())
+            at = m.end()
+        if not ended:  # a short word behind the last full line is no body
+            while lines and lines[-1][1] - lines[-1][0] < 16 and not self.text[lines[-1][0] : lines[-1][1]].endswith("="):
+                lines.pop()
+        # nor is a plain word in a comment between the lines
+        lines = [(x, y) for x, y in lines if y - x >= 16 or (y - x) % 4 == 0 or not (self.text[x:y].isalpha() and self.text[x:y].islower())]
+        if not any(y - x >= 16 for x, y in lines):
             return
-        stop = self.text.find("-----END", b)
         self.spans.add((a, b))
-        self.armored.append((a, b, stop if stop >= 0 else len(self.text)))
+        self.armored.append((a, b, lines[-1][1]))
+        self.bodies.update(lines)
 
     def run(self, lines: list[int]) -> None:
         self.rest: set[tuple[int, int]] = set()
         self.armored: list[tuple[int, int, int]] = []
+        self.bodies: set[tuple[int, int]] = set()
         for k in lines:
             self.read(k)
 
     def found(self) -> list[int]:
         """0-based lines on which values begin."""
-        inside = [(b, c) for _, b, c in self.armored]
-        return sorted({
-            bisect.bisect_right(self.starts, a) - 1
-            for a, _ in self.spans
-            if not any(b <= a < c for b, c in inside) and (a, _) not in self.rest
-        })
+        begins = sorted(self.armored)
+        inside = [b for _, b, _ in begins]
+
+        def body(a: int) -> bool:
+            k = bisect.bisect_right(inside, a) - 1
+            return k >= 0 and a < begins[k][2]
+
+        return sorted({bisect.bisect_right(self.starts, a) - 1 for a, b in self.spans if not body(a) and (a, b) not in self.rest})
 
     def masked(self) -> str:
         """The text with a placeholder over each value; line ends and everything else stay."""
-        spans = set(self.spans) | self.rest
-        for a, b, c in self.armored:
-            spans.discard((a, b))
-            spans.update((b + m.start(), b + m.end()) for m in re.finditer(r"[A-Za-z0-9+/=]{8,}", self.text[b:c]))
+        spans = set(self.spans) | self.rest | self.bodies
+        spans -= {(a, b) for a, b, _ in self.armored}
         out, at = [], 0
         for a, b in sorted(spans):
             if b <= at:
@@ -388,8 +493,15 @@ def credential_lines(chunks: DataFrame) -> DataFrame:
 def mask_credentials(chunks: DataFrame) -> DataFrame:
     """``(id, file_path, content, masked_values)``: contents with only the secret values masked.
 
-    Every delivered row is kept, null contents as null.
+    A row delivered twice (the same id, path and text) is given once, by its texts' hashes, so that only rows of
+    ids delivered more than once travel. Null contents stay null, rows without an id are kept.
     """
+    rows = chunks.select("id", "file_path", "content")
+    twice = rows.groupBy("id").count().where("count > 1").select("id")
+    # compared null-safe: rows without an id are deliveries of one unknown id
+    again = F.col("id").eqNullSafe(F.col("twice_id"))
+    other = counted_broadcast(twice.withColumnRenamed("id", "twice_id"))
+    rows = rows.join(other, again, "left_anti").unionByName(rows.join(other, again, "left_semi").distinct())
 
     def mask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -400,6 +512,6 @@ def mask_credentials(chunks: DataFrame) -> DataFrame:
             yield frame
 
     # ids travel as text: a null among them would turn the batch's numbers into floats
-    rows = chunks.select(F.col("id").cast("string").alias("id"), "file_path", "content")
+    rows = rows.withColumn("id", F.col("id").cast("string"))
     masked = rows.mapInPandas(mask, "id string, file_path string, content string, masked_values int")
     return masked.withColumn("id", F.col("id").cast("long"))
