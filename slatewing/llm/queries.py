@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slatewing.llm import credentials, handwritten, leakage, packing, splitting, subjects, truncation
 from slatewing.session import spread, table
@@ -39,6 +40,18 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.dropDuplicates(["id", "piece_no"]).drop("unit_line_nos")
 
 
+def p4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each row that is split: what its pieces come to without what they repeat, and pieces above a limit."""
+    pieces = p4_pieces(spark, sf_dir)
+    lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + (~F.col("content").endswith("\n")).cast("int")
+    over = (F.length("content") > splitting.MAX_CHARS) | (lines > splitting.MAX_LINES)
+    # the pieces of one row come together, never more than the row
+    added = F.struct("piece_no", F.expr("substring(content, repeated_chars + 1)").alias("text"))
+    parts = pieces.groupBy("id").agg(F.array_sort(F.collect_list(added)).alias("parts"), F.sum(over.cast("int")).cast("int").alias("over_limit"))
+    text = F.concat_ws("", "parts.text")
+    return parts.select("id", F.length(text).alias("characters"), F.md5(text).alias("digest"), "over_limit")
+
+
 def _cut(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     events = spread(table(spark, sf_dir, "agent_event").select("event_id", "agent_type", "message"))
     return events, _chunks(spark, sf_dir, "id", "file_path", "chunk_type", "content", "base_content")
@@ -83,11 +96,16 @@ def p8_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_masked, p3_found, p4_found, p4_pieces, p5_found, p5_shares, p6_containers,
+        p1_found, p1_masked, p3_found, p4_found, p4_pieces, p4_whole, p5_found, p5_shares, p6_containers,
         p7_found, p7_spans, p8_found, p8_makeup,
     )
 }
 
-#: None of these can be written in SQL at their whole extent; tests compare them with brute force,
+#: The others cannot be written in SQL at their whole extent; tests compare them with brute force,
 #: round trips and held-out labels.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_whole": """
+        select distinct id, length(content) as characters, md5(content) as digest, 0 as over_limit from code_chunk
+        where id is not null and (length(content) > 12000
+          or length(content) - length(replace(content, chr(10), '')) + (right(content, 1) <> chr(10))::int > 160)""",
+}

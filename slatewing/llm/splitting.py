@@ -3,8 +3,9 @@
 Boundaries are lines. Dynamic programming over boundary positions minimises the sum of cut penalties
 (a unit begins: none; after a blank line: small; anywhere else: large) and of size imbalance,
 subject to both limits and to the overlap: each piece begins with the last ``overlap_lines`` lines of
-the piece before. A line that alone exceeds the character limit is cut by characters, with
-``overlap_chars`` of them repeated.
+the piece before. Where these leave no room for the next lines, that one cut repeats as many whole lines as fit, and the
+program pays for each line it leaves out. A line that alone exceeds the character limit is cut by
+characters, with ``overlap_chars`` of them repeated.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from slatewing.llm.units import line_starts, unit_lines
 
 MAX_CHARS, MAX_LINES, OVERLAP_LINES, OVERLAP_CHARS = 12_000, 160, 8, 200
-#: Cut penalties by kind of boundary, and the weight of a piece's squared unused share.
-UNIT_CUT, BLANK_CUT, LINE_CUT, IMBALANCE = 0.0, 2.0, 10.0, 1.0
+#: Cut penalties by kind of boundary, for each line that is not repeated though it stands before the cut, and the weight
+#: of a piece's squared unused share.
+UNIT_CUT, BLANK_CUT, LINE_CUT, SHORT_OVERLAP, IMBALANCE = 0.0, 2.0, 10.0, 100.0, 1.0
 #: Where units and blank lines lie further apart than this, every line between is a boundary too.
 SPARSE_LINES = 24
 
@@ -71,66 +73,76 @@ def split_text(
     long = [i for i in range(n) if offsets[i + 1] - offsets[i] > max_chars]
     pieces: list[Piece] = []
 
-    def lead(line: int) -> int:
-        """First of the repeated lines before ``line``: as many as the limits allow, at most overlap_lines."""
-        first = line
-        while first > 0 and line - first < overlap_lines and offsets[line] - offsets[first - 1] <= max_chars // 2:
-            first -= 1
-        return first
+    def repeats(first: int, begin: int, end: int, most: int) -> int:
+        """Lines from ``first`` on that a piece of the lines ``begin`` to ``end`` can repeat within the limits, at most ``most``."""
+        fits = bisect.bisect_left(offsets, offsets[end] - max_chars)
+        return max(0, min(most, overlap_lines, max_lines - (end - begin), begin - max(first, fits)))
 
     def run(first: int, last: int) -> None:
+        """Pieces of the lines from ``first`` to before ``last``, none of which exceeds the limit alone."""
         if first >= last:
             return
         cuts = [first, *_boundaries(where, blank, first, last, offsets, max_chars // 4), last]
         best = [0.0] + [float("inf")] * (len(cuts) - 1)
         back = [0] * len(cuts)
-        leads = [lead(c) if c > first or pieces else c for c in cuts]
-        extra = [0] * len(cuts)
-        if pieces and offsets[first] - offsets[leads[0]] == 0 and first > 0:  # a long line lies before
-            leads[0], extra[0] = first, min(overlap_chars, offsets[first] - offsets[first - 1])
+        behind_long = first > 0  # characters of the line before are repeated
         low = 0
         for j in range(1, len(cuts)):
             c = cuts[j]
-            cut = 0.0 if c == last or c in where else BLANK_CUT if blank[c - 1] else LINE_CUT
-            while cuts[low] < c and low < j - 1 and c - cuts[low] > max_lines:
+            cut = UNIT_CUT if c == last or c in where else BLANK_CUT if blank[c - 1] else LINE_CUT
+            while c - cuts[low] > max_lines or offsets[c] - offsets[cuts[low]] > max_chars:
                 low += 1
-            for i in range(j - 1, low - 1, -1):
-                lines, chars = c - leads[i] + (extra[i] > 0), offsets[c] - offsets[leads[i]] + extra[i]
-                if lines > max_lines or chars > max_chars:
-                    if c - cuts[i] > max_lines or offsets[c] - offsets[cuts[i]] > max_chars:
-                        break
-                    continue
+            for i in range(low, j):
+                a = cuts[i]
+                lines = c - a
+                if i == 0 and behind_long:
+                    if lines + 1 > max_lines:
+                        continue
+                    lines, chars, short = lines + 1, min(max_chars, offsets[c] - offsets[a] + overlap_chars), 0
+                else:
+                    k = repeats(first, a, c, overlap_lines)
+                    lines, chars, short = lines + k, offsets[c] - offsets[a - k], min(overlap_lines, a - first) - k
                 unused = 1 - max(lines / max_lines, chars / max_chars)
-                cost = best[i] + cut + IMBALANCE * unused * unused
+                cost = best[i] + cut + SHORT_OVERLAP * short + IMBALANCE * unused * unused
                 if cost < best[j]:
                     best[j], back[j] = cost, i
         chain, j = [], len(cuts) - 1
         while j > 0:
-            if best[j] == float("inf"):  # the repeated lines leave no room: cut line by line without them
-                chain, j = [], 0
-                for i in range(first, last):
-                    pieces.append(Piece(i, i, offsets[i], offsets[i + 1], 0))
-                return
             chain.append((back[j], j))
             j = back[j]
         for i, j in reversed(chain):
-            begin = offsets[leads[i]] - extra[i]
-            pieces.append(Piece(leads[i] - (extra[i] > 0), cuts[j] - 1, begin, offsets[cuts[j]], offsets[cuts[i]] - begin))
+            a, c = cuts[i], cuts[j]
+            if i == 0 and behind_long:
+                extra = min(overlap_chars, offsets[a] - offsets[a - 1], max_chars - (offsets[c] - offsets[a]))
+                pieces.append(Piece(a - (extra > 0), c - 1, offsets[a] - extra, offsets[c], extra))
+            else:
+                k = repeats(max(first, pieces[-1].start if pieces else first), a, c, overlap_lines)
+                pieces.append(Piece(a - k, c - 1, offsets[a - k], offsets[c], offsets[a] - offsets[a - k]))
+
+    def run_long(line: int, first: int) -> None:
+        """Pieces of one line above the limit, cut by characters; the first repeats lines from ``first`` on where they fit."""
+        begin, stop = offsets[line], offsets[line + 1]
+        head = line
+        while head > first and line - head < min(overlap_lines, max_lines - 1) and begin - offsets[head - 1] < max_chars - overlap_chars:
+            head -= 1
+        lead = begin - offsets[head]
+        if line > 0 and not lead:  # behind another long line, or one that does not fit
+            lead = min(overlap_chars, begin - offsets[line - 1])
+        room = max_chars - overlap_chars
+        own = max_chars - lead  # what the first piece can hold of the line
+        count = 1 + -(-max(0, stop - begin - own) // room)
+        a, b = begin, begin + min(own, -(-(stop - begin) // count))
+        for k in range(count):
+            repeated = lead if k == 0 else overlap_chars
+            at = a - repeated
+            pieces.append(Piece(bisect.bisect_right(starts, at) - 1, line, at, b, repeated))
+            a = b
+            b = min(stop, a + (-(-(stop - a) // max(1, count - k - 1))))
 
     at = 0
     for line in long:
         run(at, line)
-        begin, stop = offsets[line], offsets[line + 1]
-        head = offsets[lead(line)] if pieces else begin
-        room = max_chars - overlap_chars
-        size = stop - head
-        count = max(1, -(-(size - overlap_chars) // room))
-        step = -(-(size - overlap_chars) // count)
-        for k in range(count):
-            a = head + k * step
-            b = min(stop, a + step + overlap_chars)
-            first = bisect.bisect_right(starts, a) - 1
-            pieces.append(Piece(first, line, a, b, (begin - head) if k == 0 else overlap_chars))
+        run_long(line, max(at, pieces[-1].start if pieces else at))
         at = line + 1
     run(at, n)
     return pieces

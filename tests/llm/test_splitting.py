@@ -76,6 +76,48 @@ def test_pieces(rows, end, closed, seed):
         assert p.start == text.count("\n", 0, p.begin) and p.end == text.count("\n", 0, max(p.begin, p.stop - 1))
 
 
+ROW = st.one_of(st.integers(0, 80), st.integers(0, 2500), st.integers(4000, 12_000), st.integers(12_001, 30_000)).map(lambda n: "z" * n)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 60).map(lambda n: "z" * n), ROW), max_size=250), st.booleans(), st.integers(0, 9))
+def test_pieces_with_real_limits(rows, closed, seed):
+    """Both limits hold, the parts concatenate, and each cut repeats the last 8 lines or the most that fit."""
+    text = "\n".join(rows) + ("\n" if closed else "")
+    starts = line_starts(text)
+    units = sorted(random.Random(seed).sample(range(len(starts)), len(starts) // 7))
+    pieces = S.split_text(text, units)
+    assert "".join(text[p.begin + p.repeated : p.stop] for p in pieces) == text
+    offsets = [*starts, len(text)]
+    longs = [i for i in range(len(starts)) if offsets[i + 1] - offsets[i] > S.MAX_CHARS]
+    for p in pieces:
+        part = text[p.begin : p.stop]
+        assert len(part) <= S.MAX_CHARS and len(line_starts(part)) <= S.MAX_LINES
+    for before, p in zip(pieces, pieces[1:]):
+        own = p.begin + p.repeated
+        assert before.begin <= p.begin and own == before.stop
+        if p.end in longs or own - 1 > 0 and any(offsets[i + 1] == own for i in longs):
+            assert p.repeated
+            continue
+        line = starts.index(own)
+        low = max([0, before.start, *(i + 1 for i in longs if i < line)])
+        fits = [k for k in range(min(8, line - low) + 1) if p.stop - offsets[line - k] <= S.MAX_CHARS and p.end - (line - k) + 1 <= S.MAX_LINES]
+        assert p.begin == offsets[line - max(fits)]
+
+
+def test_two_long_neighbours_shorten_one_overlap():
+    rows = ["x = 1;"] * 250 + ["y" * 5900, "z" * 7000] + ["x = 2;"] * 248
+    text = "\n".join(rows)
+    pieces = S.split_text(text, [])
+    short = [text.count("\n", p.begin, p.begin + p.repeated) for p in pieces[1:]]
+    assert len(pieces) <= 6 and sum(k < 8 for k in short) == 1
+
+
+def test_repeats_eight_lines_of_a_thousand():
+    pieces = S.split_text("\n".join(["y" * 1000] * 30), [])
+    assert {p.repeated for p in pieces[1:]} == {8 * 1001}
+
+
 def test_overlap_and_boundaries():
     text = "".join(f"u{i}\n" + "  body\n" * 9 for i in range(40))
     units = list(range(0, 400, 10))
