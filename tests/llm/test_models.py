@@ -46,15 +46,13 @@ def document(i):
     return area, " ".join(out + ["A guard on the caller would be enough here."] * 2)
 
 
-def test_document_areas(spark, monkeypatch):
-    monkeypatch.setattr(S, "COMMON_SHARE", 0.6)
+def test_document_areas(spark):
     docs = [(i, document(i)[1], "c") for i in range(240)] + [(900, None, "c"), (901, " \n", "c"), (902, "12 34", "c"), (None, "court clause", "c"), (3, document(3)[1], "c")]
     d = spark.createDataFrame(docs, "doc_id long, text string, area_code string")
     labels = spark.createDataFrame([(i, document(i)[0] if i % 9 else "LAW") for i in range(0, 240, 4)] + [(None, "LAW"), (7, None)], "doc_id long, area_code string")
     subjects = spark.createDataFrame([(a, a.lower(), " ".join(w[:2])) for a, w in AREAS.items()] + [("SPORT", "sport", "clubs")], "area_code string, area_name string, description string")
-    model, encoded = S.fit_areas(d, labels, subjects, set(), topics=8)
+    model, encoded = S.fit_areas(d, labels, subjects, set())
     assert model.areas == sorted([*AREAS, "SPORT"]) and encoded.count() >= 240
-    monkeypatch.setattr(S, "TOPICS", 8)
     got = {}
     for r in S.document_areas(d, labels, subjects).collect():
         got.setdefault(r.doc_id, set()).add(r.area_code)
@@ -67,18 +65,38 @@ def test_document_areas(spark, monkeypatch):
 
 def test_words_of_a_large_area_are_kept(spark, monkeypatch):
     """Words that stand in most documents stay if rated documents show that they speak for an area."""
-    monkeypatch.setattr(S, "ITERATIONS", 2)
     monkeypatch.setattr(S, "ROUNDS", 1)
     own = [i for i in range(360) if i % 3 == 0 or i % 9 == 1 or i % 9 == 2]  # LAW holds most documents
     d = spark.createDataFrame([(i, document(i)[1]) for i in own], "doc_id long, text string")
     labels = spark.createDataFrame([(i, document(i)[0]) for i in own if i % 2], "doc_id long, area_code string")
     subjects = spark.createDataFrame([(a, a.lower(), "") for a in AREAS], "area_code string, area_name string, description string")
-    model, _ = S.fit_areas(d, labels, subjects, set(), topics=4)
+    model, _ = S.fit_areas(d, labels, subjects, set())
     words = {w for w in model.words if " " not in w}
     assert {w for own in AREAS.values() for w in own} <= words
     assert not words & {"the", "links", "one", "guard", "caller", "would", "here", "enough"}
 
 
+def test_topics_are_mapped_by_their_top_terms(spark):
+    d = spark.createDataFrame([(i, document(i)[1]) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, document(i)[0]) for i in range(0, 120, 4)], "doc_id long, area_code string")
+    subjects = spark.createDataFrame([(a, a.lower(), "") for a in AREAS] + [("SPORT", "sport", "clubs")], "area_code string, area_name string, description string")
+    model, tokenised = S.fit_areas(d, labels, subjects, set())
+    for topic, area, terms in model.topic_terms:
+        assert area == "" or set(terms[:6]) == set(AREAS[area])
+    assert {a for _, a, _ in model.topic_terms} == {*AREAS, ""}
+    for r in S.area_shares(tokenised, model).collect():
+        assert (r.area_code, r.sentences, r.of_sentences, r.share) == (document(r.doc_id)[0], 6, 8, 0.75)
+
+
+def test_areas_without_labels(spark):
+    """Descriptions alone start the topics; documents of other words have no area."""
+    d = spark.createDataFrame([(i, document(i)[1]) for i in range(90)] + [(99, "Nothing of that here. Or there either.")] * 3, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, area_code string")
+    subjects = spark.createDataFrame([(a, a.lower(), " ".join(w[:3])) for a, w in AREAS.items()], "area_code string, area_name string, description string")
+    got = {(r.doc_id, r.area_code) for r in S.document_areas(d, none, subjects).collect()}
+    assert got == {(i, document(i)[0]) for i in range(90)}
+
+
 def test_queries_run(spark, sf_dir):
     for name in ("p1_found", "p3_found", "p4_found", "p4_pieces", "p5_found", "p6_containers", "p7_found"):
         df = queries.QUERIES[name](spark, sf_dir)
