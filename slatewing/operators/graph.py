@@ -6,7 +6,7 @@ and from the fourth on the frontier is cut through the checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewing.session import durable
@@ -47,24 +47,35 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, through: Column | Non
     return seen
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, depth: int, carry: dict[str, tuple[Column, Column]] | None = None, keep: Column | None = None) -> DataFrame:
-    """All paths without a repeated node: ``(start, node, hops, path, carried...)``, hops 1..depth.
+def simple_paths(
+    edges: DataFrame, starts: DataFrame, depth: int, carry: dict[str, tuple[Column, Column]] | None = None, keep: Column | None = None,
+    states: int | None = None, own: bool = False,
+) -> DataFrame:
+    """All paths without a repeated node: ``(start, node, hops, path, carried...)``, hops 1..depth, from 0 with ``own``.
 
-    ``carry``: name to (first value, next value by the path's and the edge's columns); ``keep``: a
-    condition on the carried values under which a path goes on.
+    ``carry``: name to (first value by the start's columns, next value by the path's and the edge's columns); ``keep``: a
+    condition on the carried values under which a path goes on; ``states``: each start's search ends after so many
+    paths, shorter ones first (a bound that belongs to the search, not to the table).
     """
     carry = carry or {}
     front = starts.select("start", F.col("start").alias("node"), F.array("start").alias("path"), *[v.alias(n) for n, (v, _) in carry.items()]).distinct()
-    found: DataFrame | None = None
+    found: DataFrame | None = front.withColumn("hops", F.lit(0)) if own else None
     e = edges.withColumnsRenamed({"src": "_src", "dst": "_dst"})
     for k in range(1, depth + 1):
         grown = front.join(e, (F.col("node") == F.col("_src")) & ~F.array_contains("path", F.col("_dst")))
         front = grown.select("start", F.col("_dst").alias("node"), F.concat("path", F.array("_dst")).alias("path"), *[v.alias(n) for n, (_, v) in carry.items()])
         if keep is not None:
             front = front.where(keep)
+        if states is not None:
+            front = front.withColumn("_place", F.row_number().over(Window.partitionBy("start").orderBy("path"))).where(F.col("_place") <= states).drop("_place")
         front = _round(front, k)
         level = front.withColumn("hops", F.lit(k))
         found = level if found is None else found.unionByName(level)
+        if k % CUT_EVERY == 0 and front.isEmpty():
+            break
+    if states is not None:
+        place = F.row_number().over(Window.partitionBy("start").orderBy("hops", "path"))
+        found = found.withColumn("_place", place).where(F.col("_place") <= states).drop("_place")
     return found
 
 

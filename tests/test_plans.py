@@ -18,31 +18,63 @@ def test_hunks_of_added_and_deleted_files(spark, tmp_path):
     ]
 
 
-def _trade(spark, folder, pairs):
-    """Tables in which each (src, dst, lines) is an order of a customer in src with a supplier in dst."""
-    nodes = sorted({n for s, d, _ in pairs for n in (s, d)})
-    rows = {
-        "nation": ([(n, f"N{n}", 3 if n == 5 else 1) for n in nodes], "n_nationkey int, n_name string, n_regionkey int"),
-        "customer": ([(n, n) for n in nodes], "c_custkey int, c_nationkey int"),
-        "supplier": ([(n, n) for n in nodes], "s_suppkey int, s_nationkey int"),
-        "orders": ([(i, s) for i, (s, _, _) in enumerate(pairs)], "o_orderkey int, o_custkey int"),
-        "lineitem": ([(i, d) for i, (_, d, n) in enumerate(pairs) for _ in range(n)], "l_orderkey int, l_suppkey int"),
-    }
-    for name, (data, schema) in rows.items():
-        spark.createDataFrame(data, schema).write.parquet(f"{folder}/{name}.parquet")
+SCHEMA = (
+    "id long, task_id string, file_path string, symbol_name string, endpoint string, start_line int, end_line int, content string, chunk_type string, "
+    "parameters string, annotations string, called_symbols array<string>, change_type string, analysis_scope string, base_content string"
+)
+
+
+def _methods(spark, folder, rows):
+    """Rows ``(id, symbol, endpoint, parameters, content, called)`` as the pieces of one task."""
+    made = [(i, "t", "A.java", s, e, 1, 9, c, "METHOD", p, "", called, "MODIFIED", "CHANGED", None) for i, s, e, p, c, called in rows]
+    spark.createDataFrame([*made, *made[:1]], SCHEMA).write.mode("overwrite").parquet(f"{folder}/code_chunk.parquet")
     return str(folder)
 
 
+CHAIN = [
+    (1, "OrderItemController#findOrderItem(Long)", "/orders/{id}", "Long id", "orderItemService.load(id);", ["load"]),
+    (3, "OrderItemService#loadOrderItem(Long)", None, "Long id", "return mapper.resolve(id);", ["resolve"]),
+    (4, "OrderItemMapper#resolveOrderItem(Long)", None, "Long id", 'mapper.selectById(id); jdbc("select a from b where id = " + id)', []),
+    (9, "OtherThingService#loadOther(Long)", None, "Long id", "", ["resolve"]),
+]
+
+
 def test_graph_has_all_edges(spark, tmp_path):
-    pairs = [(0, d, 2) for d in range(1, 6)] + [(1, 2, 1)]
-    at = _trade(spark, tmp_path, pairs)
-    assert sorted(map(tuple, graphs._edges(spark, at).select("src", "dst", "weight").collect())) == pairs
-    assert {r.n_nationkey for r in graphs.anti_standalone(spark, at).collect()} == {0}
+    """Every target of a call is an edge, whatever their number; LOW ones take no part in searches."""
+    many = [(10 + i, f"OrderItemController#loadOrderItem{i}()", None, "", "", []) for i in range(6)]
+    at = _methods(spark, tmp_path, CHAIN + many)
+    got = {(r.src, r.dst, r.confidence) for r in graphs.call_edges(spark, at).collect()}
+    assert got == {(3, 4, "HIGH"), (1, 3, "LOW"), *((1, 10 + i, "MEDIUM") for i in range(6))}
+    assert {(r.start, r.node) for r in graphs.graph_hops(spark, at).collect()} == {(3, 4), *((1, 10 + i) for i in range(6))}
+    assert [(r.calls, r.resolved, r.high, r.medium, r.low) for r in graphs.call_coverage(spark, at).collect()] == [(3, 2, 1, 6, 1)]
 
 
 def test_best_path_is_chosen_from_all_flows(spark, tmp_path):
-    """The longest flow of a pair counts, though the limit of flows of its start leaves it out."""
-    pairs = [(s, d, 6) for s in range(6) for d in range(6) if s != d]
-    at = _trade(spark, tmp_path, pairs)
-    assert graphs.taint_paths(spark, at).where("start = 0").count() == 20
-    assert [r.path for r in graphs.best_path_per_key(spark, at).where("start = 0").collect()] == ["0>1>2>3>5"]
+    """The flow that covers most calls counts, chosen from all states that show the risk."""
+    at = _methods(spark, tmp_path, CHAIN)
+    flows = {(r.start, r.risk, r.path, r.confidence) for r in graphs.taint_paths(spark, at).collect()}
+    assert flows == {(1, "SQL_INJECTION", "1>3>4", "HIGH"), (1, "AUTHORIZATION_OWNER", "1>3>4", "HIGH")}
+    deeper = CHAIN[:2] + [(4, *CHAIN[2][1:5], ["find"]), (5, "OrderItemMapper#findOrderItemRows(Long)", None, "Long id", CHAIN[2][4], [])]
+    at = _methods(spark, tmp_path, deeper)
+    # the controller's method begins with the called name as well, but lies on the path already
+    best = {(r.start, r.risk): r.path for r in graphs.best_path_per_key(spark, at).collect()}
+    assert best == {(1, "SQL_INJECTION"): "1>3>4>5", (1, "AUTHORIZATION_OWNER"): "1>3>4>5"}
+
+
+def test_guards_on_the_path_suppress_flows(spark, tmp_path):
+    owned = [CHAIN[0], (*CHAIN[1][:4], "checkOwner(id); return mapper.resolve(id);", ["resolve"]), CHAIN[2]]
+    assert {r.risk for r in graphs.taint_paths(spark, _methods(spark, tmp_path, owned)).collect()} == {"SQL_INJECTION"}
+    refund = (4, "OrderItemMapper#resolveOrderItem(Long)", None, "Long id", "mapper.selectById(id); refundGateway.refund(id);", [])
+    both = {r.risk for r in graphs.taint_paths(spark, _methods(spark, tmp_path, [*CHAIN[:2], refund])).collect()}
+    assert both == {"AUTHORIZATION_OWNER", "AUTHORIZATION_ROLE"}
+    guarded = [(*CHAIN[0][:4], "checkRole(x); orderItemService.load(id);", ["load"]), CHAIN[1], refund]
+    assert {r.risk for r in graphs.taint_paths(spark, _methods(spark, tmp_path, guarded)).collect()} == {"AUTHORIZATION_OWNER"}
+
+
+def test_a_search_ends_after_its_states(spark):
+    from slatewing.operators import graph as G
+
+    edges = spark.createDataFrame([(a, b) for a in range(6) for b in range(6) if a != b], "src int, dst int")
+    got = G.simple_paths(edges, spark.createDataFrame([(0,), (1,)], "start int"), 4, states=20, own=True)
+    per = {(r.start, r.hops): r.n for r in got.groupBy("start", "hops").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert per == {(s, h): n for s in (0, 1) for h, n in ((0, 1), (1, 5), (2, 14))}
