@@ -16,6 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slatewing.session import counted_broadcast
+
+#: Snapshots up to which their order (a few short columns) is broadcast.
+ORDER_ROWS = 200_000
 #: Any Unicode white space, line ends included.
 BLANKS = r"(?U)[\s\x{feff}]+"
 
@@ -81,8 +85,9 @@ def merge_changes(states: DataFrame, order: DataFrame, columns: Sequence[str]) -
     ``states``: ``(snapshot, key, state)``; ``order``: as of :func:`snapshot_order`. A snapshot may
     have no rows: its predecessor's keys are then REMOVED. Groups of one snapshot give no rows.
     """
+    # a snapshot holds many rows: its place is brought to them, so that no task's rows meet in one partition
     placed = (
-        states.join(order, states["snapshot"] == order["task_id"])
+        states.join(counted_broadcast(order, ORDER_ROWS), states["snapshot"] == order["task_id"])
         .select("project_id", "key", "position", "task_id", "next_task_id", "state")
         # ranges are cut on (project, key), so that no range begins inside a key
         .repartitionByRange("project_id", "key")
