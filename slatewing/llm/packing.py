@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
-#: Buckets among which the documents of one length are ranked.
-BUCKETS = 64
+#: Documents of one length are ranked in buckets of about so many.
+BUCKET_ROWS = 50_000
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenisation pattern of this vocabulary family.
@@ -140,11 +140,8 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "tokens", capacity:
         key,
         "piece_no",
         F.when(F.col("piece_no") < F.col("last_piece"), capacity).otherwise(F.col("n") - F.col("last_piece") * capacity).cast("int").alias("tokens"),
-        F.pmod(F.xxhash64(key, "piece_no"), F.lit(BUCKETS)).cast("int").alias("bucket"),
     )
-    counted = pieces.groupBy("tokens", "bucket").agg(F.count("*").alias("n"))
-    # at most (capacity + 1) x BUCKETS rows, whatever the number of items
-    rows = counted.groupBy("tokens").agg(F.sum("n").alias("n")).collect()
+    rows = pieces.groupBy("tokens").agg(F.count("*").alias("n")).collect()  # at most capacity + 1 rows, whatever the number of items
     counts = np.zeros(capacity + 1, np.int64)
     for r in rows:
         counts[r.tokens] = r.n
@@ -161,6 +158,12 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "tokens", capacity:
     blocks[0] = [(0, 0, len(recipes[0][0]) if recipes else 0)]
     table = {k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in blocks.items()}
 
+    # a frequent length has as many buckets as its count asks for
+    parts = [(int(r.tokens), 1 + int(r.n) // BUCKET_ROWS) for r in rows]
+    buckets = F.broadcast(sizes.sparkSession.createDataFrame(parts, "tokens int, buckets long"))
+    bucket = F.pmod(F.xxhash64(key, "piece_no"), F.col("buckets")).alias("bucket")
+    pieces = pieces.join(buckets, "tokens").select(key, "piece_no", "tokens", bucket)
+    counted = pieces.groupBy("tokens", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("tokens", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("tokens", "bucket").orderBy(key, "piece_no")
