@@ -182,7 +182,8 @@ def fit(chunks: DataFrame, tasks: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = chunks.where("id is not null and file_path is not null and length(content) > 0").select("id", "task_id", key.alias("path"), "content")
     # the choice is made on ids alone; only the chosen rows' texts are read again
     rank = F.xxhash64("id", F.lit("sample"))
-    ranked = rows.select("id", weak_label(F.col("path"), F.col("content")).alias("label"), rank.alias("rank"))
+    # one pass over the texts for both labels: ids, labels and ranks go to the checkpoint folder
+    ranked = durable(rows.select("id", weak_label(F.col("path"), F.col("content")).alias("label"), rank.alias("rank")))
     chosen = [r for s in (0, 1) for r in ranked.where(F.col("label") == s).orderBy("rank", "id").limit(sample_rows).collect()]
     session = chunks.sparkSession
     picked = session.createDataFrame([(r.id, r.label) for r in chosen], "id long, label int").distinct()
