@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from slatewing.session import durable
 
-#: Rounds of the fit; passes over a document's sentences within one.
-ROUNDS, PASSES = 6, 2
+#: Rounds of the fit (from three on the areas hardly change any more); passes over a document's sentences within one.
+ROUNDS, PASSES = 4, 2
 #: A word takes part if it stands in so many documents and in this share of them (which bounds the vocabulary by
 #: the words of one document / LEAST_SHARE, however many documents there are).
 LEAST_DOCUMENTS, LEAST_SHARE = 3, 1e-4
@@ -53,7 +53,8 @@ QUOTED_SHARE = 0.8
 
 _ENTITY = re.compile(r"&#?\w{1,10};")
 _TAG = re.compile(r"<[^<>]{1,60}>")
-_BREAK = re.compile(r"(?<=[.!?。])\s+|\n+|</p>|</li>|<br ?/?>")
+_BREAK = re.compile(r"[.!?。]\s+|\n+")
+_BLOCK_ENDS = ("</p>", "</li>", "<br>", "<br/>", "<br />")
 _CASE = re.compile(r"([a-zß-ÿ])([A-Z])")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
@@ -61,9 +62,14 @@ _WORD = re.compile(r"[^\W\d_]{3,}")
 def sentences(text: str) -> list[list[str]]:
     """Words of three letters or more of each sentence, line or list item that has two of them."""
     out = []
-    for part in _BREAK.split(_ENTITY.sub(" ", text)):
+    if "&" in text:
+        text = _ENTITY.sub(" ", text)
+    if "<" in text:
+        for mark in _BLOCK_ENDS:
+            text = text.replace(mark, "\n")
+    for part in _BREAK.split(_CASE.sub(r"\1 \2", text).lower()):
         if part:
-            words = _WORD.findall(_CASE.sub(r"\1 \2", _TAG.sub(" ", part)).lower())
+            words = _WORD.findall(_TAG.sub(" ", part) if "<" in part else part)
             if len(words) > 1:
                 out.append(words)
     return out
@@ -102,7 +108,7 @@ def _tokenised(documents: DataFrame, quoted: set[str]) -> DataFrame:
             for text in frame["text"]:
                 own = sentences(text)
                 if quoted:
-                    own = [ws for ws in own if len(ws) <= 2 or sum(w in quoted for w in ws) < QUOTED_SHARE * len(ws)]
+                    own = [ws for ws in own if len(ws) <= 2 or sum(map(quoted.__contains__, ws)) < QUOTED_SHARE * len(ws)]
                 words.append(np.array([hashes[w] for ws in own for w in ws], np.uint32).tobytes())
                 sizes.append(np.array([len(ws) for ws in own], np.uint32).tobytes())
                 counted.append(len(own))
