@@ -22,8 +22,6 @@ from slatewing.session import durable
 
 #: Rows of each label that the classifier is fitted on, at most (chosen by a hash of their id).
 SAMPLE_ROWS = 3000
-#: Projects that share a library's package root, at least; what certain evidence adds to a score.
-SHARED_BY, KNOWN = 3, 0.7
 #: Hashed dimensions, n-gram length, passes of the solver, regularisation, held-out share of projects.
 DIMENSIONS, GRAM, PASSES, COST, HELD_OUT = 1 << 15, 4, 12, 1.0, 5
 
@@ -40,8 +38,7 @@ _PLACES = r"(?:^|/)(?:node_modules|bower_components|third[_-]party|generated|gen
 #: What may stand before the first declaration: comments, package and import lines, annotations.
 _COMMENT = r"/\*[\s\S]*?\*/|//[^\n]*+|<!--[\s\S]*?-->"
 _HEAD = rf"\A(?:\s++|{_COMMENT}|(?:package|import)\b[^\n]*+|@(?!interface\b)[^\n]*+)*+"
-_HEAD_RE, _COMMENT_RE, _HEADER_RE = re.compile(_HEAD), re.compile(_COMMENT), re.compile(_HEADER, re.I)
-_ANNOTATED_RE, _PLACES_RE = re.compile(_GENERATED_ANNOTATION), re.compile(_PLACES, re.I)
+_HEAD_RE, _COMMENT_RE = re.compile(_HEAD), re.compile(_COMMENT)
 _PACKAGE = re.compile(r"^\s*(?:package|import(?:\s+static)?)\s+([\w.]+)", re.M)
 _MASKED = re.compile(rf"{_GENERATED_ANNOTATION}[^)]*\)|//# ?sourceMappingURL=\S+|/\*!.*", re.I)
 _FOLDED = re.compile(r"\d+")
@@ -88,15 +85,11 @@ def _path_features(path: str, content: str) -> list[str]:
     out += [f"pair:{a}/{b}" for a, b in zip(parts[-3:-1], parts[-2:-1])]
     if m := re.search(r"^\s*package\s+([\w.]+)\s*;", content, re.M):
         out.append("home" if f"/{m.group(1).replace('.', '/')}/" in f"/{path}" else "moved")
+    if library(path, content):
+        out.append("named after its root")
     return out
 
 
-def giveaway(path: str, content: str) -> bool:
-    """Whether a tool's or licence's header, or a place that only tools fill, tells where the file is from."""
-    head = _HEAD_RE.match(content).group()
-    return bool(_HEADER_RE.search(head) or _ANNOTATED_RE.search(head) or _PLACES_RE.search(path))
-
-
 def library(path: str, content: str) -> str | None:
     """The package root (three parts) that names a Java file's type: its own package, or one that it
     imports, whose last part the type's name begins with."""
@@ -214,11 +207,10 @@ def fit(chunks: DataFrame, tasks: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return Classifier(weights, bias, int(held.sum()), agree)
 
 
-def file_scores(chunks: DataFrame, tasks: DataFrame, model: Classifier) -> DataFrame:
+def file_scores(chunks: DataFrame, model: Classifier) -> DataFrame:
     """``(task_id, path, score, characters, spellings)`` for each file of each task.
 
-    A file's score is the mean of its rows' scores by length, raised by what is certain beside it: a
-    giveaway in any of its rows, or a type named after a package root that several projects share.
+    A file's score is the mean of its rows' scores by length.
     """
     weights, bias = model.weights.astype(np.float32), model.bias
     shared = chunks.sparkSession.sparkContext.broadcast(weights)  # DIMENSIONS numbers, whatever the input
@@ -229,27 +221,19 @@ def file_scores(chunks: DataFrame, tasks: DataFrame, model: Classifier) -> DataF
             rows = []
             for path, content in zip(frame["path"], frame["content"]):
                 index, value = features(path, content)
-                rows.append((float(w[index] @ value + bias), giveaway(path, content), library(path, content), len(content)))
-            made = pd.DataFrame(rows, columns=["score", "given", "library", "size"])
+                rows.append((float(w[index] @ value + bias), len(content)))
+            made = pd.DataFrame(rows, columns=["score", "size"])
             yield pd.concat([frame[["task_id", "file_path", "path"]].reset_index(drop=True), made], axis=1)
 
     rows = chunks.where("task_id is not null and file_path is not null and length(content) > 0").select(
         "task_id", "file_path", file_key(F.col("file_path")).alias("path"), "content"
     )
-    scored = rows.mapInPandas(score, "task_id string, file_path string, path string, score double, given boolean, library string, size long")
-    files = durable(
-        scored.groupBy("task_id", "path").agg(
-            (F.sum(F.col("score") * F.col("size")) / F.sum("size")).alias("score"),
-            F.max("given").alias("given"),
-            F.max("library").alias("library"),
-            F.sum("size").alias("characters"),
-            F.collect_set("file_path").alias("spellings"),
-        )
+    scored = rows.mapInPandas(score, "task_id string, file_path string, path string, score double, size long")
+    return scored.groupBy("task_id", "path").agg(
+        (F.sum(F.col("score") * F.col("size")) / F.sum("size")).alias("score"),
+        F.sum("size").alias("characters"),
+        F.collect_set("file_path").alias("spellings"),
     )
-    homes = files.where("library is not null").select("task_id", "library").distinct().join(_projects(tasks), "task_id")
-    foreign = homes.groupBy("library").agg(F.countDistinct("project_id").alias("projects")).where(F.col("projects") >= SHARED_BY)
-    known = F.when(F.col("given"), KNOWN).otherwise(0.0) + F.when(F.col("projects").isNotNull(), KNOWN).otherwise(0.0)
-    return files.join(foreign, "library", "left").select("task_id", "path", (F.col("score") + known).alias("score"), "characters", "spellings")
 
 
 def files_not_handwritten(chunks: DataFrame, tasks: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = -0.1) -> DataFrame:
@@ -260,5 +244,5 @@ def files_not_handwritten(chunks: DataFrame, tasks: DataFrame, sample_rows: int
     twice counts once or twice alike.
     """
     model = fit(chunks, tasks, sample_rows)
-    files = file_scores(chunks, tasks, model).where(F.col("score") > threshold)
+    files = file_scores(chunks, model).where(F.col("score") > threshold)
     return files.select("task_id", F.explode("spellings").alias("file_path")).distinct()
