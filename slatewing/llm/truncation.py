@@ -33,6 +33,8 @@ ODD_USES, ODD_SHARE = 200, 0.005
 LEAST_USES = 4
 #: Open ends at one exact length that make it a limit, and how many times the neighbours' average.
 LIMIT_COUNT, LIMIT_TIMES, LIMIT_RADIUS = 5, 6, 20
+#: Characters up to which the trie has a node for every beginning of a word; deeper ones are made where they are looked for.
+DEEP = 80
 #: Salts for joins of records with the statistics of their tails.
 SALTS = 16
 
@@ -85,9 +87,19 @@ def _open_json(text: str) -> bool:
     return quoted or depth > 0
 
 
+def _last(pattern: re.Pattern, text: str, n: int) -> list[str]:
+    """The last ``n`` matches, read from as far back as they reach; all of them if there are fewer."""
+    size = 400
+    while True:
+        found = pattern.findall(text[-size:])
+        if len(found) > n or size >= len(text):  # the one before the last n shows that they are whole
+            return found[-n:]
+        size *= 4
+
+
 def _tail(text: str) -> tuple[str, str, str]:
     """``(final word, pair of shapes, word after its predecessor)`` of a text that ends without a stop."""
-    tokens = _TOKEN.findall(text[-400:])
+    tokens = _last(_TOKEN, text, 2)
     if not tokens:
         return "", "", ""
     before = _SHAPES[tokens[-2]] if len(tokens) > 1 else "^"
@@ -165,20 +177,30 @@ def tail_statistics(texts: DataFrame) -> DataFrame:
     )
 
 
-def _trie(words: DataFrame) -> DataFrame:
-    """``(source, before, word, n)`` as nodes ``(source, node, ends, below)``: the weight of the words
-    that end at a node, and of those that lie below it."""
-    nodes = words.select(
-        "source", "before", "word", "n", F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(80)))).alias("k")
-    )
-    here = F.col("k") == F.length("word")
-    return nodes.groupBy("source", F.expr("concat(before, substring(word, 1, k))").alias("node")).agg(
-        F.sum(F.when(here, F.col("n")).otherwise(0)).alias("ends"),
-        F.sum(F.when(here, 0).otherwise(F.col("n"))).alias("below"),
-    )
+def _trie(words: DataFrame, sought: DataFrame) -> DataFrame:
+    """``(source, before, word, n)`` as nodes ``(source, node, ends, below)``: the weight of the words that end at a node,
+    and of those that lie below it.
+
+    Nodes stand for all beginnings up to ``DEEP`` characters. Deeper nodes, of which a single blob would have as many as
+    characters, are made for the ``sought`` beginnings ``(source, node)`` alone.
+    """
+    n, size = F.col("n"), F.length("word")
+    flat = words.select("source", "before", "word", "n", F.explode(F.sequence(F.lit(1), F.least(size, F.lit(DEEP)))).alias("k"))
+    flat = flat.select(
+        "source", F.expr("concat(before, substring(word, 1, k))").alias("node"),
+        F.when(F.col("k") == size, n).otherwise(0).alias("ends"), F.when(F.col("k") == size, 0).otherwise(n).alias("below"),
+    )
+    head = F.concat("before", F.substring("word", 1, DEEP))
+    long = words.where(size > DEEP).select("source", F.concat("before", "word").alias("whole"), head.alias("head"), "n")
+    part = F.length(F.substring_index("node", " ", -1))
+    asked = sought.where(part > DEEP).select("source", "node", F.substring("node", F.lit(1), F.length("node") - part + DEEP).alias("head"))
+    met = asked.join(long, ["source", "head"]).where(F.startswith("whole", F.col("node")))
+    ended = F.length("node") == F.length("whole")
+    deep = met.select("source", "node", F.when(ended, n).otherwise(0).alias("ends"), F.when(ended, 0).otherwise(n).alias("below"))
+    return flat.unionByName(deep).groupBy("source", "node").agg(F.sum("ends").alias("ends"), F.sum("below").alias("below"))
 
 
-def vocabulary_trie(statistics: DataFrame) -> DataFrame:
+def vocabulary_trie(statistics: DataFrame, sought: DataFrame) -> DataFrame:
     """The trie of all words, and that of words after their predecessor (nodes ``'before word'``)."""
     words = statistics.where("kind = 'word' and n >= 2").select("source", F.lit("").alias("before"), F.col("key").alias("word"), "n")
     after = statistics.where("kind in ('stop', 'line', 'more')").select(
@@ -187,7 +209,7 @@ def vocabulary_trie(statistics: DataFrame) -> DataFrame:
         F.substring_index("key", " ", -1).alias("word"),
         "n",
     ).where("length(word) > 1")
-    return _trie(words.unionByName(after))
+    return _trie(words.unionByName(after), sought)
 
 
 def _bare(line: str) -> str:
@@ -250,7 +272,7 @@ def _records(events: DataFrame, chunks: DataFrame) -> DataFrame:
     b = chunks.select(
         F.lit("code_chunk").alias("source_table"), F.col("id").cast("long").alias("record_id"),
         F.col("chunk_type").alias("kind"), F.col("base_content").alias("text"), F.col("file_path").alias("path"),
-        # an unchanged base cannot be cut: spare Python the second copy
+        # a base that ends as the newer text does is whole (see _code_end): equal ones need not go to Python
         F.col("content").alias("newer"),
     ).where(F.col("newer").isNull() | (F.rtrim("text") != F.rtrim("newer")))
     return a.unionByName(b).where(F.col("record_id").isNotNull() & F.col("text").rlike(r"\S"))
@@ -269,7 +291,7 @@ def judge_ends(records: DataFrame) -> DataFrame:
                 state, token, pair, after = "open", "", "", ""
                 if r.source_table == "code_chunk":
                     state = _code_end(r.path or "", text, r.newer or "")
-                    words = _WORD.findall(body[-200:])
+                    words = _last(_WORD, body, 1)
                     token = words[-1] if words and body.endswith(words[-1]) else ""
                 elif body.endswith("\ufffd"):
                     state = "cut"
@@ -320,7 +342,8 @@ def cut_values(events: DataFrame, chunks: DataFrame) -> DataFrame:
 
     # only the tails that occur are looked up; a frequent tail is spread over the salts
     sought = open_ends.select("source_table", F.explode(F.array_distinct(F.array("token", "after"))).alias("node")).where("node <> ''").distinct()
-    nodes = durable(vocabulary_trie(statistics).withColumnRenamed("source", "source_table").join(sought, ["source_table", "node"], "left_semi"))
+    trie = vocabulary_trie(statistics, sought.withColumnRenamed("source_table", "source")).withColumnRenamed("source", "source_table")
+    nodes = durable(trie.join(sought, ["source_table", "node"], "left_semi"))
     pairs = (
         statistics.where("kind <> 'word'")
         .join(open_ends.where("pair <> ''").select(F.col("pair").alias("key")).distinct(), "key", "left_semi")

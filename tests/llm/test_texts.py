@@ -145,3 +145,23 @@ def test_triple_is_found_behind_many_blocked_ones():
     counts[[1, *short, *(1999 - y for y in short), 500, 600, 900]] = 1
     # the one item of length 1 is held, so the 70 longest first members fail
     assert P._Stock(counts).triple(2000, (1,)) == (900, 600, 500)
+
+
+def test_trie_equals_brute_force_at_any_depth(spark):
+    r = random.Random(5)
+    stems = ["a" * 70, "b" * 79, "ab" * 60, "c"]
+    words = sorted({r.choice(stems) + "".join(r.choice("abc") for _ in range(r.randint(0, 30))) for _ in range(200)})
+    rows = [("s", before, w, r.randint(1, 5)) for before in ("", "x ") for w in words]
+    wanted = sorted({before + w[: r.randint(1, len(w))] for _, before, w, _ in rows} | {"x " + "zz" * 50, "c", "x c"})
+    trie = T._trie(spark.createDataFrame(rows, "source string, before string, word string, n long"), spark.createDataFrame([("s", w) for w in wanted], "source string, node string"))
+    got = {r.node: (r.ends, r.below) for r in trie.where("source = 's'").collect()}
+    for node in wanted:
+        ends = sum(n for _, b, w, n in rows if b + w == node)
+        below = sum(n for _, b, w, n in rows if (b + w).startswith(node) and b + w != node and node.startswith(b) and (b or " " not in node))
+        assert got.get(node, (0, 0)) == (ends, below), node
+
+
+def test_last_tokens_reach_as_far_back_as_needed():
+    for text in ("see " + "x" * 5000, "a " + "y" * 450 + " " + "z" * 450, "one two", "", "w" * 3000):
+        for n in (1, 2):
+            assert T._last(T._WORD, text, n) == T._WORD.findall(text)[-n:]
