@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatewing.functions import text as T
@@ -159,9 +159,11 @@ _BARE = r"""regexp_replace(x, '("(?:\\.|[^"\\])*"?|''(?:\\.|[^''\\])*''?)|\s+',
 
 
 def changed_secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known token formats, key armor, addresses with passwords and assigned literals on changed lines.
+    """Key armor, addresses with passwords, known token formats, XML elements and assignments with a literal secret on
+    changed lines.
 
-    Comment lines are left out; a whole added file counts as changed. Values are cut out of the hint.
+    Comment lines are left out; a whole added file counts as changed. The hint is what stands before the first colon or equals
+    sign; where that would hold the secret, or there is none, it names the kind alone.
     """
     change = (
         table(spark, sf_dir, "git_file_change")
@@ -170,37 +172,52 @@ def changed_secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.max_by(F.struct("new_ranges", "change_type"), "id").alias("g"))
     )
     c = table(spark, sf_dir, "code_chunk").where("analysis_scope = 'CHANGED' and content is not null").select("id", "task_id", T.normal_path(F.col("file_path")).alias("path"), "start_line", "content")
-    kind = _secret_kind(F.col("line"))
-    lined = c.join(change, ["task_id", "path"]).select("id", "start_line", "g", F.posexplode(T.lines(F.col("content"))).alias("pos", "raw"))
-    lined = lined.select("id", (F.col("start_line") + F.col("pos")).alias("line_no"), "g", F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")).alias("line"))
+    c = c.withColumn("configuration", roles.file_role(F.col("path")).isin("SECURITY_CONFIGURATION", "DATA_ACCESS"))
+    lined = c.join(change, ["task_id", "path"]).select("id", "start_line", "configuration", "g", F.posexplode(T.lines(F.col("content"))).alias("pos", "raw"))
+    lined = lined.select("id", (F.col("start_line") + F.col("pos")).alias("line_no"), "configuration", "g", F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")).alias("line"))
     ranges = F.coalesce("g.new_ranges", F.array().cast("array<struct<start:int,end:int>>"))
     inside = F.exists(ranges, lambda r: (F.col("line_no") >= r["start"]) & (F.col("line_no") <= r["end"]))
     whole = (F.size(ranges) == 0) & (F.col("g.change_type") == "ADD")
-    hint = F.regexp_replace("line", r"[:=].*$", ": <REDACTED_LITERAL>")
-    return (
-        lined.where((inside | whole) & (F.col("line") != "") & ~F.col("line").rlike(r"^(?:#|//)"))
-        .select("id", "line_no", kind.alias("kind"), hint.alias("hint"))
-        .where("kind is not null")
-        .distinct()
-    )
+    # what all patterns need, asked first
+    some = F.col("line").rlike(r"(?i)-----BEGIN|:/|AKIA|gh[pousr]_|sk-|passw|pwd|secret|key|token|credential")
+    found = lined.where(some & (inside | whole) & (F.col("line") != "") & ~F.col("line").rlike(r"^(?:#|//)")).withColumn("kind", secret_kind(F.col("line"), F.col("configuration")))
+    return found.where("kind is not null").select("id", "line_no", "kind", secret_hint(F.col("line"), F.col("kind")).alias("hint")).distinct()
 
 
-#: Armor, address, token and assignment patterns of the line scanner.
+#: Armor, address, token, element and assignment patterns of the line scanner, and values that are none.
 _ARMOR = r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"
 _ADDRESS = r"(?i)(?:jdbc:[a-z0-9]+:|https?|redis|mongodb(?:\+srv)?):/{1,2}[^\s/:@]+:([^\s@/]+)@"
 _KNOWN = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,})"
-_ASSIGNED = r"""(?i)["']?[a-z0-9_.-]*(?:password|passwd|pwd|secret|api[-_.]?key|access[-_.]?key|secret[-_.]?key|private[-_.]?key|client[-_.]?secret|access[-_.]?token|refresh[-_.]?token|auth[-_.]?token|credential)[a-z0-9_.-]*["']?\s*[:=]\s*["']([^"'${}<> ]{4,})["']"""
+_ELEMENT = r"(?i)<(password|passwd|pwd|secret|apiKey|accessKey|secretKey|privateKey|clientSecret|token|credential)>\s*([^<]+)\s*</\1>"
+_ASSIGNED = r"""(?i)["']?[a-z0-9_.-]*(?:password|passwd|pwd|secret|api[-_.]?key|access[-_.]?key|secret[-_.]?key|private[-_.]?key|client[-_.]?secret|access[-_.]?token|refresh[-_.]?token|auth[-_.]?token|credential)[a-z0-9_.-]*["']?\s*[:=]\s*(\S.*?)\s*(?:,\s*)?(?: #.*)?$"""
+_STAND_IN = r"""(?i)^["']?\s*(?:\$\{[^}:]+:?\}|<[^>]+>|test|sample)?\s*["']?$|^["']?\s*#\{|placeholder|example-value|dummy-value|your-"""
+_NO_LITERAL = r"(?i)^(?:null|none|true|false)$|^(?:enc\(|\{cipher\}|classpath:)|system\.get(?:env|property)"
+_WRITTEN = rf"^[\"']|{_KNOWN}"
+
 
+def _literal(value: Column) -> Column:
+    return ~value.rlike(_NO_LITERAL) & ~value.rlike(_STAND_IN)
 
-def _secret_kind(line):
+
+def secret_kind(line: Column, configuration: Column) -> Column:
+    """What kind of secret a line writes out, or null. A value counts if it is quoted, a known token, or anything in a
+    configuration file, unless it is a stand-in, encrypted or looked up."""
+    value = F.regexp_extract(line, _ASSIGNED, 1)
     return (
         F.when(line.rlike(_ARMOR), "PRIVATE_KEY")
         .when(line.rlike(_ADDRESS), "ADDRESS")
-        .when(line.rlike(_KNOWN), "TOKEN")
-        .when(line.rlike(_ASSIGNED), "ASSIGNMENT")
+        .when(line.rlike(_KNOWN) & ~line.rlike(_STAND_IN), "TOKEN")
+        .when(line.rlike(_ELEMENT) & _literal(F.trim(F.regexp_extract(line, _ELEMENT, 2))), "ELEMENT")
+        .when(_literal(value) & (configuration | value.rlike(_WRITTEN)), "ASSIGNMENT")
     )
 
 
+def secret_hint(line: Column, kind: Column) -> Column:
+    prefix = F.regexp_extract(line, r"^([^:=]*)[:=]", 1)
+    bare = line.rlike("[:=]") & (kind == "ASSIGNMENT") & ~prefix.rlike(_KNOWN)
+    return F.when(bare, F.concat(prefix, F.lit(": <REDACTED_LITERAL>"))).otherwise(F.concat(F.lit("<REDACTED_"), kind, F.lit(">")))
+
+
 def mapper_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of mapper files: namespace, kind, id, and whether text is spliced into the SQL."""
     c = table(spark, sf_dir, "code_chunk").where("lower(file_path) like '%.xml' and content like '%<mapper%'")
@@ -265,6 +282,14 @@ QUERIES = {
 _RULES = f"with hits as ({_rule_sql()}) "
 _EXCERPT = _line_sql(rules.DYNAMIC_SQL)
 _GUARD_LIST = f"[{_sql_list(rules.GUARDS + rules.OWNERSHIP)}]"
+_CLEAN_SQL = "trim(regexp_replace(trim(regexp_replace(trim({0}), ' #.*$', '')), ',$', ''))"
+_STAND_IN_SQL = "(regexp_matches(lower(trim({0})), '^\\$\\{{[^}}:]+:?\\}}$') or starts_with(lower(trim({0})), '#{{') or regexp_matches(trim({0}), '^<[^>]+>$') or regexp_matches(lower({0}), 'placeholder|example-value|dummy-value|your-') or lower(trim({0})) in ('test', 'sample'))"
+_BARE_SQL = "trim(regexp_replace({0}, '^[\"'']|[\"'']$', '', 'g'))"
+_LITERAL_SQL = (
+    "({0} <> '' and not " + _STAND_IN_SQL + " and lower({0}) not in ('null', 'none', 'true', 'false') and not regexp_matches(lower({0}), '^(enc\\(|\\{{cipher\\}}|classpath:)')"
+    " and not regexp_matches(lower({0}), 'system\\.(getenv|getproperty)') and ({1} or regexp_matches({0}, '^[\"'']') or regexp_matches({0}, 'AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{20,}}|sk-[A-Za-z0-9_-]{{20,}}'))"
+    " and " + _BARE_SQL + " <> '' and not " + _STAND_IN_SQL.replace("{0}", "trim(regexp_replace({0}, '^[\"'']|[\"'']$', '', 'g'))") + ")"
+)
 _LINES = r"regexp_split_to_array(content, '\r\n|\n|\r')"
 _SETS = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^a-z0-9_]+'), lambda x: length(x) > 0))"
 SQL = {
@@ -291,12 +316,15 @@ SQL = {
       from (select h.*, c.symbol_name, h.line - c.start_line as off, list_transform({_LINES.replace("content", "c.content")}, lambda x: {_BARE}) as bare
         from hits h join (select distinct id, symbol_name, start_line, content from code_chunk where content is not null) c using (id))""",
     "changed_secret_lines": f"""with g as (select task_id, {_PATH.format("new_path")} as path, max_by({{'r': new_ranges, 't': change_type}}, id) as g from git_file_change where new_path is not null group by 1, 2),
-      l as (select c.id, c.start_line + t.i - 1 as line_no, regexp_replace(t.x, '^\\s+|\\s+$', '', 'g') as line, g.g.r as r, g.g.t as t from (select id, task_id, {_PATH.format("file_path")} as path, start_line, content from code_chunk where analysis_scope = 'CHANGED' and content is not null) c
-        join g on c.task_id = g.task_id and c.path = g.path, lateral (select unnest({_LINES.replace("content", "c.content")}) as x, generate_subscripts({_LINES.replace("content", "c.content")}, 1) as i) t),
-      k as (select id, line_no, regexp_replace(line, '[:=].*$', ': <REDACTED_LITERAL>') as hint, case when regexp_matches(line, '{_ARMOR}') then 'PRIVATE_KEY' when regexp_matches(line, '{_ADDRESS}') then 'ADDRESS'
-        when regexp_matches(line, '{_KNOWN}') then 'TOKEN' when regexp_matches(line, '{_ASSIGNED.replace("'", "''")}') then 'ASSIGNMENT' end as kind
-        from l where line <> '' and not regexp_matches(line, '^(?:#|//)') and (len(list_filter(r, lambda x: line_no >= x.start and line_no <= x."end")) > 0 or (coalesce(len(r), 0) = 0 and t = 'ADD')))
-      select distinct id, line_no, kind, hint from k where kind is not null""",
+      l as (select c.id, c.role in ('SECURITY_CONFIGURATION', 'DATA_ACCESS') as conf, c.start_line + t.i - 1 as line_no, regexp_replace(t.x, '^\\s+|\\s+$', '', 'g') as line, g.g.r as r, g.g.t as t
+        from (select id, task_id, p as path2, role, start_line, content from {_roles_of("select *, file_path as path from code_chunk where analysis_scope = 'CHANGED' and content is not null")}) c
+        join g on c.task_id = g.task_id and c.path2 = g.path, lateral (select unnest({_LINES.replace("content", "c.content")}) as x, generate_subscripts({_LINES.replace("content", "c.content")}, 1) as i) t),
+      k as (select *, regexp_extract(line, '(?i)<(?:password|passwd|pwd|secret|apikey|accesskey|secretkey|privatekey|clientsecret|token|credential)>\\s*([^<]+)\\s*</', 1) as e, regexp_extract(line, '{_ASSIGNED.replace("'", "''")}', 1) as a
+        from l where line <> '' and not regexp_matches(line, '^(?:#|//)') and (len(list_filter(r, lambda x: line_no >= x.start and line_no <= x."end")) > 0 or (coalesce(len(r), 0) = 0 and t = 'ADD'))),
+      v as (select *, {_CLEAN_SQL.format('e')} as ev, {_CLEAN_SQL.format('a')} as av from k),
+      n as (select id, line_no, line, case when regexp_matches(line, '-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----') then 'PRIVATE_KEY' when regexp_matches(line, '{_ADDRESS}') then 'ADDRESS'
+        when regexp_matches(line, '{_KNOWN}') and not {_STAND_IN_SQL.format('line')} then 'TOKEN' when {_LITERAL_SQL.format('ev', 'true')} then 'ELEMENT' when {_LITERAL_SQL.format('av', 'conf')} then 'ASSIGNMENT' end as kind from v)
+      select distinct id, line_no, kind, case when kind = 'ASSIGNMENT' and not regexp_matches(regexp_extract(line, '^([^:=]*)[:=]', 1), '{_KNOWN}') then regexp_extract(line, '^([^:=]*)[:=]', 1) || ': <REDACTED_LITERAL>' else '<REDACTED_' || kind || '>' end as hint from n where kind is not null""",
     "mapper_statements": " union ".join(
         f"""select distinct id, regexp_extract(content, '(?is)<mapper\\s+[^>]*namespace\\s*=\\s*["'']([^"'']+)["'']', 1) as namespace, '{k}' as kind, regexp_extract(s, '(?is)\\bid\\s*=\\s*["'']([^"'']+)["'']', 1) as statement_id, contains(regexp_extract(s, '(?is)^<{k}\\b[^>]*>(.*)</{k}>$', 1), '${{') as spliced
         from (select id, content, unnest(regexp_extract_all(content, '(?is)<{k}\\b[^>]*\\bid\\s*=\\s*["''][^"'']+["''][^>]*>.*?</{k}>')) as s from code_chunk where lower(file_path) like '%.xml' and content like '%<mapper%')"""

@@ -78,3 +78,26 @@ def test_a_search_ends_after_its_states(spark):
     got = G.simple_paths(edges, spark.createDataFrame([(0,), (1,)], "start int"), 4, states=20, own=True)
     per = {(r.start, r.hops): r.n for r in got.groupBy("start", "hops").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
     assert per == {(s, h): n for s in (0, 1) for h, n in ((0, 1), (1, 5), (2, 14))}
+
+
+SECRET = "Kes0Island41xyz"
+LINES = [
+    # configuration, line, kind, hint
+    (False, f'String password = "{SECRET}";', "ASSIGNMENT", "String password : <REDACTED_LITERAL>"), (True, f"db.password: {SECRET}", "ASSIGNMENT", "db.password: <REDACTED_LITERAL>"), (False, f"password = {SECRET};", None, None),
+    (False, "-----BEGIN RSA PRIVATE KEY-----", "PRIVATE_KEY", "<REDACTED_PRIVATE_KEY>"), (True, f"url: redis://svc:{SECRET}@host/0", "ADDRESS", "<REDACTED_ADDRESS>"),
+    (False, "call(ghp_" + "a1B2" * 6 + ");", "TOKEN", "<REDACTED_TOKEN>"), (False, 'x(AKIA' + "A1" * 8 + ', apiKey = "' + SECRET + '")', "TOKEN", "<REDACTED_TOKEN>"), (True, f"<clientSecret>{SECRET}</clientSecret>", "ELEMENT", "<REDACTED_ELEMENT>"),
+    (True, "<clientSecret>${CLIENT}</clientSecret>", None, None), (True, "password: ${DB_PASSWORD}", None, None), (True, f"password: ${{DB_PASSWORD:{SECRET}}}", "ASSIGNMENT", "password: <REDACTED_LITERAL>"),
+    (True, "api-key: your-key", None, None), (True, "token: ENC(abc)", None, None), (True, "secret: null", None, None), (False, 'String secret = System.getenv("A");', None, None), (True, "secret: sample", None, None), (True, "access-key:", None, None),
+]
+
+
+def test_no_hint_holds_a_secret(spark):
+    from pyspark.sql import functions as F
+
+    from slatewing.plans.code_rules import secret_hint, secret_kind
+
+    df = spark.createDataFrame([(c, x) for c, x, *_ in LINES], "configuration boolean, line string")
+    df = df.withColumn("kind", secret_kind(F.col("line"), F.col("configuration"))).withColumn("hint", secret_hint(F.col("line"), F.col("kind")))
+    got = [(r.configuration, r.line, r.kind, r.hint) for r in df.collect()]
+    assert [(c, x, k, " ".join(h.split()).replace(" :", ":") if h else None) for c, x, k, h in got] == [(c, x, k, h.replace(" :", ":") if h else None) for c, x, k, h in LINES]
+    assert not any(h and (SECRET in h or "ghp_" in h or "AKIA" in h) for *_, h in got)
