@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatewing.operators import folds
+from slatewing.operators.prefix import running
 from slatewing.plans.code_rules import _LINES
 from slatewing.session import table
 from slatewing.streaming import events as S
@@ -14,8 +15,8 @@ from slatewing.streaming import events as S
 def event_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each task's events once, in order of their ids, as a subscriber receives them."""
     e = S.unique(table(spark, sf_dir, "agent_event").select("task_id", "event_id", "agent_type", "event_type", F.substring("message", 1, S.MESSAGE_LIMIT).alias("message")), "event_id")
-    place = F.row_number().over(Window.partitionBy("task_id").orderBy("event_id"))
-    return e.select("task_id", place.alias("place"), "event_id", "agent_type", "event_type", F.length("message").alias("characters"))
+    e = e.select("task_id", "event_id", "agent_type", "event_type", F.length("message").alias("characters"))
+    return running(e, ["task_id"], ["event_id"]).select("task_id", F.col("place").cast("int").alias("place"), "event_id", "agent_type", "event_type", "characters")
 
 
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,19 +28,20 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_n_detail(spark: SparkSession, sf_dir: str, detailed: int = 3, short: int = 80, budget: int = 6000) -> DataFrame:
     """Each task's observations, newest first: the latest whole, older ones shortened, until the budget ends."""
     e = table(spark, sf_dir, "agent_event").where("event_type = 'OBSERVATION' and message is not null").groupBy("task_id", "event_id").agg(F.max(F.length("message")).alias("n"))
-    order = Window.partitionBy("task_id").orderBy(F.desc("event_id"))
-    ranked = e.withColumn("place", F.row_number().over(order))
-    ranked = ranked.withColumn("shown", F.when(F.col("place") <= detailed, F.col("n")).otherwise(F.least("n", F.lit(short))))
-    before = F.coalesce(F.sum("shown").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranked.select("task_id", "event_id", "place", F.least(F.col("shown"), budget - before).cast("long").alias("shown")).where("shown > 0")
+    # what the first ones show beyond the short form is added to all that follow
+    e = e.withColumn("back", -F.col("event_id")).withColumn("brief", F.least("n", F.lit(short)))
+    newest = e.withColumn("k", F.row_number().over(Window.partitionBy("task_id").orderBy("back"))).where(F.col("k") <= detailed)
+    more = newest.groupBy(F.col("task_id").alias("_task")).agg(F.array_sort(F.collect_list(F.struct("k", (F.col("n") - F.col("brief")).alias("m")))).alias("more"))
+    ranked = running(e, ["task_id"], ["back"], "brief").join(more, F.col("task_id").eqNullSafe(F.col("_task")))
+    extra = F.aggregate(F.filter("more", lambda x: x["k"] < F.col("place")), F.lit(0).cast("long"), lambda a, x: a + x["m"])
+    shown = F.when(F.col("place") <= detailed, F.col("n")).otherwise(F.col("brief"))
+    return ranked.select("task_id", "event_id", F.col("place").cast("int").alias("place"), F.least(shown, budget - F.col("before") - extra).cast("long").alias("shown")).where("shown > 0")
 
 
 def running_budget(spark: SparkSession, sf_dir: str, budget: int = 200_000) -> DataFrame:
     """Characters used so far by the documents of each source in order, within a budget; the last in part."""
-    d = table(spark, sf_dir, "documents")
-    order = Window.partitionBy("source").orderBy("doc_id")
-    before = F.coalesce(F.sum("n_chars").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return d.select("source", "doc_id", F.greatest(F.lit(0), F.least(F.col("n_chars"), budget - before)).cast("long").alias("used")).where("used > 0")
+    d = running(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"], "n_chars")
+    return d.select("source", "doc_id", F.greatest(F.lit(0), F.least(F.col("n_chars"), budget - F.col("before"))).cast("long").alias("used")).where("used > 0")
 
 
 def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,10 +86,19 @@ def finding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_context(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
-    """Up to three changed ranges of each piece's file: those that touch the piece first, then by line."""
-    p = _pieces(spark, sf_dir).select("id", "task_id", "path", "start_line", "end_line")
-    j = p.join(_ranges(spark, sf_dir), ["task_id", "path"])
-    touches = (F.col("start_line") <= F.col("range_end")) & (F.col("end_line") >= F.col("range_start"))
+    """Up to three changed ranges of each piece's file: those that touch the piece first, then by line.
+
+    Those that touch are met by blocks of lines. Of the others only the file's first ``most`` can come in, since those of
+    them that touch take a place themselves; so no piece meets all ranges of its file.
+    """
+    p = _pieces(spark, sf_dir).select("id", "task_id", "path", "start_line", "end_line").distinct()
+    ranges = _ranges(spark, sf_dir)
+    touching = I.overlap_join(p, ranges, ["task_id", "path"], ("start_line", "end_line"), ("range_start", "range_end"))
+    first = F.row_number().over(Window.partitionBy("task_id", "path").orderBy("range_start", "range_end"))
+    firsts = p.join(ranges.withColumn("_k", first).where(F.col("_k") <= most).drop("_k"), ["task_id", "path"])
+    columns = ("id", "start_line", "end_line", "range_start", "range_end")
+    j = touching.select(*columns).unionByName(firsts.select(*columns)).distinct()
+    touches = F.coalesce((F.col("start_line") <= F.col("range_end")) & (F.col("end_line") >= F.col("range_start")), F.lit(False))
     place = F.row_number().over(Window.partitionBy("id").orderBy(touches.desc(), "range_start", "range_end"))
     return j.select("id", "range_start", "range_end", touches.alias("touches"), place.alias("place")).where(f"place <= {most}")
 

@@ -9,10 +9,11 @@ from slatewing.functions.text import normal_path
 
 #: Folders that are left out, in lower case.
 EXCLUDED = (
-    ".git .github .idea .vscode .gradle target build out dist coverage node_modules bower_components vendor third_party third-party "
-    "generated generated-sources generated-test-sources test tests __tests__ testfixtures test-fixtures testdata test-data __fixtures__ "
-    "androidtest integrationtest integration-test docs documentation .nyc_output .pytest_cache __pycache__"
-).split()
+    ".git", ".github", ".idea", ".vscode", ".gradle", "target", "build", "out", "dist", "coverage", "node_modules",
+    "bower_components", "vendor", "third_party", "third-party", "generated", "generated-sources", "generated-test-sources",
+    "test", "tests", "__tests__", "testfixtures", "test-fixtures", "testdata", "test-data", "__fixtures__", "androidtest",
+    "integrationtest", "integration-test", "docs", "documentation", ".nyc_output", ".pytest_cache", "__pycache__",
+)
 #: Names of tests, generated assets, build files, and the name and place patterns of the other roles.
 TEST_TYPES = r"(?:^Test[A-Z].*|Test|Tests|TestCase|IntegrationTest|IT)\.java$"
 TEST_NAMES = r"\.test\.|\.spec\.|^application-test\.|^application-integrationtest\."
