@@ -25,10 +25,12 @@ BLOCK_CHARS = 8_000_000
 
 #: Element names whose tags count as markup.
 _TAGS = (
-    "a abbr article aside b big blockquote body br caption center cite code col dd del details div dl dt em figure font footer form h1 h2 h3 h4 h5 h6 "
-    "head header hr html i img input ins kbd label li link main mark meta nav ol option p pre q s samp script section select small span strike strong "
-    "style sub summary sup table tbody td textarea tfoot th thead title tr tt u ul var wbr"
-).split()
+    "a", "abbr", "article", "aside", "b", "big", "blockquote", "body", "br", "caption", "center", "cite", "code", "col", "dd",
+    "del", "details", "div", "dl", "dt", "em", "figure", "font", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head",
+    "header", "hr", "html", "i", "img", "input", "ins", "kbd", "label", "li", "link", "main", "mark", "meta", "nav", "ol",
+    "option", "p", "pre", "q", "s", "samp", "script", "section", "select", "small", "span", "strike", "strong", "style", "sub",
+    "summary", "sup", "table", "tbody", "td", "textarea", "tfoot", "th", "thead", "title", "tr", "tt", "u", "ul", "var", "wbr",
+)
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff]")
 _TAG = re.compile(rf"</?(?:{'|'.join(_TAGS)})(?:\s[^<>]*)?/?>|<!--|-->|<!\[CDATA\[|\]\]>", re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
