@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatewing.functions import text as T
 from slatewing.operators import intervals as I
 from slatewing.operators import rules
-from slatewing.plans.change_intervals import _findings
+from slatewing.plans.change_intervals import SEVERITIES, _findings
 from slatewing.session import durable, table
 
 #: Parts of the score of two methods of one class and name, and the least score that makes them one.
@@ -152,6 +153,57 @@ def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.count("*").alias("merged"), F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids")).drop("island")
 
 
+def _merge_group(part: pd.DataFrame) -> pd.DataFrame:
+    """Findings that overlap one another directly or by others, merged until nothing changes: in the order of their lines, each
+    with the first that it overlaps and whose symbol is equal or blank; the merged one keeps the symbol."""
+    rows = part.sort_values(["start_line", "end_line", "id"])
+    merged = [[r.start_line, r.end_line, r.symbol, {r.id}, r.severity_rank] for r in rows.itertuples(index=False)]
+    changed = True
+    while changed:
+        changed, kept = False, []
+        for row in merged:
+            for other in kept:
+                if row[0] <= other[1] and other[0] <= row[1] and (row[2] == other[2] or not row[2] or not other[2]):
+                    other[:] = [min(row[0], other[0]), max(row[1], other[1]), other[2] or row[2], other[3] | row[3], min(row[4], other[4])]
+                    changed = True
+                    break
+            else:
+                kept.append(row)
+        merged = kept
+    first = part.iloc[0]
+    out = pd.DataFrame([(a, b, c, len(d), ",".join(sorted(d)), e) for a, b, c, d, e in merged], columns=["start_line", "end_line", "symbol", "merged", "ids", "severity_rank"])
+    for k in ("task_id", "type", "path"):
+        out.insert(0, k, first[k])
+    return out
+
+
+def merge_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of one task, type and file that overlap become one where their symbols are equal or one is blank.
+
+    A finding's symbol is that of the only piece that holds its line. Only findings that overlap one another, directly or by
+    others, come together in a task of the cluster. Findings without lines stay alone.
+    """
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(v) for v in SEVERITIES]), F.upper(F.trim("severity"))) - 1, F.lit(-1))
+    rank = F.when(rank < 0, len(SEVERITIES)).otherwise(rank).cast("int")
+    f = _findings(spark, sf_dir).select("id", "task_id", "type", "path", "start_line", "end_line", rank.alias("severity_rank"))
+    f = f.groupBy("id", "task_id", "type", "path", "start_line", "end_line").agg(F.min("severity_rank").alias("severity_rank"))
+    c = table(spark, sf_dir, "code_chunk").where("symbol_name is not null").select(F.col("id").alias("piece_id"), "symbol_name").groupBy("piece_id").agg(F.min("symbol_name").alias("symbol"))
+    at = _located(spark, sf_dir).where("how = 'LINE'").select("id", "task_id", "type", "path", F.col("line").alias("start_line"), "end_line", "piece_id").distinct()
+    named = at.join(c, "piece_id").groupBy("id", "task_id", "type", "path", "start_line", "end_line").agg(F.min("symbol").alias("symbol"))
+    keys = ["id", "task_id", "type", "path", "start_line", "end_line"]
+    right = named.select(*[F.col(k).alias(f"_{k}") for k in keys], "symbol")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    f = f.join(right, same, "left").select(*keys, "severity_rank", F.coalesce("symbol", F.lit("")).alias("symbol"))
+    lined = f.where("start_line is not null and end_line is not null")
+    groups = I.islands(lined, ["task_id", "type", "path"], "start_line", "end_line", order=("id", "symbol"))
+    schema = "path string, type string, task_id string, start_line int, end_line int, symbol string, merged int, ids string, severity_rank int"
+    out = groups.groupBy("task_id", "type", "path", "island").applyInPandas(_merge_group, schema)
+    alone = f.where("start_line is null or end_line is null").select("path", "type", "task_id", "start_line", "end_line", "symbol", F.lit(1).alias("merged"), F.col("id").alias("ids"), "severity_rank")
+    return out.unionByName(alone)
+
+
 def mapper_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mapper methods and the statements of their class in mapper files of the task: names without a closing number are equal."""
     c = table(spark, sf_dir, "code_chunk")
@@ -224,7 +276,7 @@ def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        method_snapshots, method_changes, change_order, locate_unique, locate_loose, merge_candidates, mapper_methods, writer_templates,
+        method_snapshots, method_changes, change_order, locate_unique, locate_loose, merge_candidates, merge_findings, mapper_methods, writer_templates,
         carrier_filter, csv_member, executable_lines, head_tail, cancel_active, snapshot_scan,
     )
 }

@@ -73,3 +73,15 @@ def test_candidates_merge_by_type_and_piece(spark, tmp_path):
     at = _write(spark, tmp_path, code_chunk=(pieces, CHUNK), finding=(rows, FINDING))
     got = {(r.type, r.start_line, r.end_line, r.ids) for r in methods.merge_candidates(spark, at).collect()}
     assert got == {("X", 61, 63, "a,b"), ("X", 70, 70, "c"), ("Y", 61, 62, "d"), ("X", None, None, "e")}
+
+
+def test_findings_merge_by_symbol(spark, tmp_path):
+    pieces = [_chunk(1, "t", "S#a()", path="src/S.java", lines=(1, 10)), _chunk(2, "t", "S#b()", path="src/S.java", lines=(11, 30))]
+    spans = [("a", 8, 12), ("b", 9, 11), ("c", 11, 14), ("d", 13, 16), ("e", 40, 41), ("f", 41, 45), ("g", None, 3), ("h", 31, 40)]
+    rows = [(i, "t", "X", "low" if i != "d" else " CRITICAL", "HIGH", "t", "src/S.java", s, e, None, None) for i, s, e in spans]
+    at = _write(spark, tmp_path, code_chunk=(pieces, CHUNK), finding=([*rows, rows[1], (*rows[0][:2], "Y", *rows[0][3:])], FINDING))
+    got = {(r.type, r.start_line, r.end_line, r.symbol, r.ids, r.severity_rank) for r in methods.merge_findings(spark, at).collect()}
+    # a and b lie in S#a(), c and d in S#b(): they overlap, but stay apart; e, f and h have no symbol
+    assert got == {
+        ("X", 8, 12, "S#a()", "a,b", 3), ("X", 11, 16, "S#b()", "c,d", 0), ("X", 31, 45, "", "e,f,h", 3), ("X", None, 3, "", "g", 3), ("Y", 8, 12, "S#a()", "a", 3),
+    }
