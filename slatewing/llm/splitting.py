@@ -131,7 +131,8 @@ def split_text(
         room = max_chars - overlap_chars
         own = max_chars - lead  # what the first piece can hold of the line
         count = 1 + -(-max(0, stop - begin - own) // room)
-        a, b = begin, begin + min(own, -(-(stop - begin) // count))
+        size = stop - begin
+        a, b = begin, begin + max(min(own, -(-size // count)), size - (count - 1) * room)
         for k in range(count):
             repeated = lead if k == 0 else overlap_chars
             at = a - repeated

@@ -105,6 +105,14 @@ def test_pieces_with_real_limits(rows, closed, seed):
         assert p.begin == offsets[line - max(fits)]
 
 
+@pytest.mark.parametrize("before", [0, 3, 200, 990, 1500])
+def test_any_long_line_is_cut_within_the_limit(before):
+    for size in [*range(1001, 4000, 7), 1902, 1950, 1951, 2850, 2851]:
+        text = "x" * before + "\n" + "y" * size
+        pieces = S.split_text(text, [], 1000, 40, 4, 50)
+        assert "".join(text[p.begin + p.repeated : p.stop] for p in pieces) == text and max(p.stop - p.begin for p in pieces) <= 1000
+
+
 def test_two_long_neighbours_shorten_one_overlap():
     rows = ["x = 1;"] * 250 + ["y" * 5900, "z" * 7000] + ["x = 2;"] * 248
     text = "\n".join(rows)
