@@ -97,10 +97,62 @@ def method_rows(files: DataFrame) -> DataFrame:
     return rows.mapInPandas(extract, "id long, symbol_name string, start_line int, end_line int, annotations string, called_symbols array<string>")
 
 
+#: Lines that occur more often than this in a block are no anchors of a difference.
+MOST_OCCURRENCES = 64
+
+
+def _anchor(a: list[str], b: list[str], block: tuple[int, int, int, int]) -> tuple[int, int, int] | None:
+    """The run of equal lines ``(old first, new first, length)`` around the rarest common line of a block; the longest of equally
+    rare ones."""
+    i, j, k, n = block
+    places: dict[str, list[int]] = {}
+    for x in range(i, j):
+        places.setdefault(a[x], []).append(x)
+    best, y = None, k
+    while y < n:
+        there = places.get(b[y], ())
+        beyond = y + 1
+        if 0 < len(there) <= MOST_OCCURRENCES and (best is None or len(there) <= best[0]):
+            for x in there:
+                first, at, rare = x, y, len(there)
+                while first > i and at > k and a[first - 1] == b[at - 1]:
+                    first, at = first - 1, at - 1
+                end = y + 1
+                while x + end - y < j and end < n and a[x + end - y] == b[end]:
+                    rare = min(rare, len(places[b[end]]))
+                    end += 1
+                beyond = max(beyond, end)
+                if best is None or (rare, at - end) < best[:2]:
+                    best = (rare, at - end, first, at)
+        y = beyond
+    return None if best is None else (best[2], best[3], -best[1])
+
+
 def line_edits(old: str, new: str) -> list[tuple[int, int, int, int]]:
-    """Edits as half-open line ranges ``(old first, old end, new first, new end)``, from 0."""
+    """Edits as half-open line ranges ``(old first, old end, new first, new end)``, from 0, by histogram difference: equal lines at
+    the ends of a block are set aside, then it is parted at its rarest common line."""
     a, b = re.split(r"\r\n|\n|\r", old), re.split(r"\r\n|\n|\r", new)
-    return [(i, j, k, n) for tag, i, j, k, n in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if tag != "equal"]
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, n = todo.pop()
+        while i < j and k < n and a[i] == b[k]:
+            i, k = i + 1, k + 1
+        while i < j and k < n and a[j - 1] == b[n - 1]:
+            j, n = j - 1, n - 1
+        if i == j and k == n:
+            continue
+        if i < j and k < n and (found := _anchor(a, b, (i, j, k, n))):
+            x, y, length = found
+            todo += [(i, x, k, y), (x + length, j, y + length, n)]
+        else:
+            out.append((i, j, k, n))
+    joined: list[tuple[int, int, int, int]] = []
+    for e in sorted(out):
+        if joined and joined[-1][1] == e[0] and joined[-1][3] == e[2]:
+            joined[-1] = (joined[-1][0], e[1], joined[-1][2], e[3])
+        else:
+            joined.append(e)
+    return joined
 
 
 def unified(old: str, new: str, around: int = 3, limit: int = 24_000) -> str:

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -189,6 +190,27 @@ def test_line_diffs(spark):
     assert java.unified("a\nb", "a\nc").splitlines() == ["@@ -1,2 +1,2 @@", " a", "-b", "+c"]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcdefg"), max_size=40), st.lists(st.sampled_from("abcdefg"), max_size=40))
+def test_line_edits_lead_from_old_to_new(a, b):
+    edits = java.line_edits("\n".join(a), "\n".join(b))
+    x, y = "\n".join(a).split("\n"), "\n".join(b).split("\n")
+    out, at, to = [], 0, 0
+    for i, j, k, n in edits:
+        assert at <= i <= j and to <= k <= n and i - at == k - to and x[at:i] == y[to:k] and (i < j or k < n)
+        out += x[at:i] + y[k:n]
+        at, to = j, n
+    assert out + x[at:] == y and x[at:] == y[to:]
+
+
+def test_line_edits_of_long_texts():
+    old = [f"line {i}" for i in range(40_000)] + ["}"] * 500
+    new = [x for i, x in enumerate(old) if i >= 40_000 or i % 1000 != 7]
+    began = time.perf_counter()
+    assert java.line_edits("\n".join(old), "\n".join(new)) == [(i, i + 1, i - k, i - k) for k, i in enumerate(range(7, 40_000, 1000))]
+    assert time.perf_counter() - began < 20
+
+
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([("a", 1), ("b", 2)], "task string, n int")
