@@ -60,6 +60,38 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _traced(pattern: re.Pattern, put: Callable[[re.Match], str], text: str, begin: np.ndarray, end: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """``pattern.sub(put, text)``, with where in the original each character begins and ends."""
+    parts, begins, ends, at = [], [], [], 0
+    for m in pattern.finditer(text):
+        made = put(m)
+        parts += [text[at : m.start()], made]
+        begins += [begin[at : m.start()], np.full(len(made), begin[m.start()] if m.end() > m.start() else 0)]
+        ends += [end[at : m.start()], np.full(len(made), end[m.end() - 1] if m.end() > m.start() else 0)]
+        at = m.end()
+    return "".join([*parts, text[at:]]), np.concatenate([*begins, begin[at:]]), np.concatenate([*ends, end[at:]])
+
+
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the text each word of :func:`words_of` begins and ends."""
+    begin, end = np.arange(len(text)), np.arange(1, len(text) + 1)
+    if "\\" in text:
+        text, begin, end = _traced(_ESCAPED, _unescape, text, begin, end)
+    if "&" in text:
+        for _ in range(2):
+            text, begin, end = _traced(_ENTITY, lambda m: html.unescape(m.group()), text, begin, end)
+    if "<" in text or "-->" in text or "]]>" in text:
+        text, begin, end = _traced(_TAG, lambda m: " ", text, begin, end)
+    if not text.isascii():
+        text, begin, end = _traced(_INVISIBLE, lambda m: "", text, begin, end)
+    low = text.lower()
+    if len(low) != len(text):  # a few capitals have two small letters
+        sizes = [len(c.lower()) for c in text]
+        low, begin, end = "".join(map(str.lower, text)), np.repeat(begin, sizes), np.repeat(end, sizes)
+    spans = [m.span() for m in _WORD.finditer(low)]
+    return np.array([begin[a] for a, _ in spans], np.int64), np.array([end[b - 1] for _, b in spans], np.int64)
+
+
 class FmIndex:
     """FM-index of a sequence of symbols 0..top, where 0 separates and never matches."""
 
@@ -201,8 +233,9 @@ class _Query:
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, item_id, spans array<struct<first_word,end_word>>, words)`` of the documents that hold
-    at least ``min_words`` consecutive words of an item.
+    """``(doc_id, item_id, spans array<struct<first_word,end_word>>, places array<struct<begin,end>>, words)`` of the documents
+    that hold at least ``min_words`` consecutive words of an item. ``places`` are the spans as offsets of characters in the
+    document's text, from 0, so that they can be cut out of it.
 
     Items are the query set: they are sent to the tasks in blocks of bounded size, each block against
     all documents. Null or blank texts, and items with fewer words than the minimum, give no rows. A
@@ -218,27 +251,32 @@ def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = MIN_WO
         blocks[-1].append((r.item_id, r.text))
         size += len(r.text)
     texts = documents.where("doc_id is not null and length(text) > 0").select("doc_id", "text")
-    schema = "doc_id long, item_id long, spans array<struct<first_word:int,end_word:int>>"
+    schema = "doc_id long, item_id long, spans array<struct<first_word:int,end_word:int>>, places array<struct<begin:int,end:int>>"
 
     def searcher(block: list[tuple[int, str]]):
         def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             query = _Query(block, min_words)
             docs: list[tuple[int, np.ndarray, np.ndarray]] = []
+            kept: dict[int, tuple[int, str]] = {}  # only texts that may hold a passage
             held = 0
 
             def flush() -> pd.DataFrame:
-                found = query.shard(docs)
+                rows = []
+                for n, item, spans in query.shard(docs):
+                    doc, text = kept[n]
+                    begin, end = word_places(text)
+                    places = [{"begin": int(begin[a]), "end": int(end[b - 1])} for a, b in spans]
+                    rows.append((doc, item, [{"first_word": a, "end_word": b} for a, b in spans], places))
                 docs.clear()
-                return pd.DataFrame(
-                    [(d, i, [{"first_word": a, "end_word": b} for a, b in s]) for d, i, s in found],
-                    columns=["doc_id", "item_id", "spans"],
-                )
+                kept.clear()
+                return pd.DataFrame(rows, columns=["doc_id", "item_id", "spans", "places"])
 
             for frame in frames:
                 for doc, text in zip(frame["doc_id"], frame["text"]):
                     symbols, numbers = query.symbols(text)
                     if len(symbols):
-                        docs.append((doc, symbols, numbers))
+                        docs.append((len(docs), symbols, numbers))
+                        kept[len(docs) - 1] = (doc, text)
                         held += len(symbols) + 1
                     if held >= SHARD_WORDS:
                         yield flush()

@@ -165,3 +165,27 @@ def test_last_tokens_reach_as_far_back_as_needed():
     for text in ("see " + "x" * 5000, "a " + "y" * 450 + " " + "z" * 450, "one two", "", "w" * 3000):
         for n in (1, 2):
             assert T._last(T._WORD, text, n) == T._WORD.findall(text)[-n:]
+
+
+DISGUISED = st.lists(
+    st.sampled_from(["Alpha", "b&auml;r", "&amp;lt;x", "<b>bold</b>", "u\\u0041v", "soft\u00adly", "\u0130st", "\u1e9e", "one-two", "// ", "\\n", "_", " ", "&nbsp;", "<!--", "]]>", "a\u200bb", "\\t\\x41"]), max_size=25
+)
+
+
+@settings(max_examples=200, deadline=None)
+@given(DISGUISED)
+def test_places_are_those_of_the_words(parts):
+    text = " ".join(parts)
+    words = L.words_of(text)
+    begin, end = L.word_places(text)
+    assert len(begin) == len(end) == len(words) and all(a < b for a, b in zip(begin, end)) and list(begin) == sorted(begin)
+    for w, a, b in zip(words, begin, end):
+        assert w in L.words_of(text[a:b]) or "&" in text[a:b] or "\\" in text[a:b] or any(0x200A < ord(c) or c == "\u00ad" for c in text[a:b])
+
+
+def test_leaked_places_can_be_cut_out(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    doc = "Before &amp; here: <b>W0</b> " + item[3:].replace(" ", "&nbsp;") + "! After it."
+    rows = L.leaked_items(spark.createDataFrame([(1, doc), (2, "none")], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    [(a, b)] = [(p.begin, p.end) for p in rows[0].places]
+    assert doc[:a] + "#" + doc[b:] == "Before &amp; here: <b>#! After it." and len(rows) == 1
