@@ -74,6 +74,12 @@ def _starts(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("id").alias("start"))
 
 
+def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All methods as starts, without what the searches ask of them."""
+    c = table(spark, sf_dir, "code_chunk").where("id is not null and symbol_name like '%#%'")
+    return c.select(F.col("id").alias("start")).distinct()
+
+
 def _text(path: str = "path") -> Column:
     return F.array_join(F.transform(path, lambda x: x.cast("string")), ">")
 
@@ -98,18 +104,18 @@ def edge_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_reach_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context of each method: what is within three calls of it, either way."""
     nodes = _nodes(spark, sf_dir)
-    return G.reach(_edges(nodes, both=True), _starts(nodes), 3)
+    return G.reach(_edges(nodes, both=True), _all(spark, sf_dir), 3)
 
 
 def graph_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of methods and their distance along calls, up to ten."""
     nodes = _nodes(spark, sf_dir)
-    return G.reach(_edges(nodes), _starts(nodes), 10).where("hops > 0")
+    return G.reach(_edges(nodes), _all(spark, sf_dir), 10).where("hops > 0")
 
 
 def graph_simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir)
-    return G.simple_paths(_edges(nodes), _starts(nodes), 3).select("start", "node", "hops", _text().alias("path"))
+    return G.simple_paths(_edges(nodes), _all(spark, sf_dir), 3).select("start", "node", "hops", _text().alias("path"))
 
 
 def graph_explore(spark: SparkSession, sf_dir: str, quota: int = QUOTA) -> DataFrame:
@@ -120,7 +126,7 @@ def graph_explore(spark: SparkSession, sf_dir: str, quota: int = QUOTA) -> DataF
     sure = {"verified": (F.lit(True), F.col("verified") & (F.col("confidence") == "HIGH"))}
     out = []
     for way, edges in (("OUT", e), ("IN", e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "confidence"))):
-        p = G.simple_paths(edges, _starts(nodes), 2, sure).withColumn("text", _text())
+        p = G.simple_paths(edges, _all(spark, sf_dir), 2, sure).withColumn("text", _text())
         rank = F.row_number().over(Window.partitionBy("start").orderBy(F.desc("verified"), "hops", "text"))
         out.append(p.withColumn("place", rank).where(F.col("place") <= quota).select("start", F.lit(way).alias("direction"), "place", "verified", F.col("text").alias("path")))
     return out[0].unionByName(out[1])
